@@ -239,14 +239,12 @@ def regex_matches(
         return F.transform(spans, one)
 
     per_rule = [tagged(r) for r in usable]
-    # the cheap combined test keeps texts without any match away from the span expressions
-    wanted = None
-    for r in usable:
-        cond = F.col(text_col).rlike(flags + sp.ascii_boundaries(r["pattern"]))
-        wanted = cond if wanted is None else wanted | cond
+    if not per_rule:
+        raise ValueError("no usable pattern among the rules")
     return (
-        docs.where(wanted if wanted is not None else F.lit(False))
-        .select(id_col, text_col, F.explode(F.flatten(F.array(*per_rule))).alias("__m"))
+        docs.select(id_col, text_col, F.flatten(F.array(*per_rule)).alias("__ms"))
+        .where(F.size("__ms") > 0)
+        .select(id_col, text_col, F.explode("__ms").alias("__m"))
         .select(id_col, text_col, "__m.*")
     )
 

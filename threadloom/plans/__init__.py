@@ -2,6 +2,7 @@
 
 from threadloom.plans import (  # noqa: F401  (importing registers the queries)
     patterns,
+    texts,
 )
 from threadloom.plans.catalog import QUERIES
 

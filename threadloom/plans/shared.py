@@ -75,3 +75,23 @@ def messages(t) -> DataFrame:
         "text",
         F.timestamp_seconds(F.lit(1704067200) + seconds).cast("timestamp_ntz").alias("ts"),
     )
+
+
+# page text with markdown headings and blank lines between blocks
+PAGE_TEXT_CTE = r"""page_text as (
+  select page_id as doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+    '<h1[^>]*>', chr(10) || chr(10) || '# ', 'g'), '<h[2-6][^>]*>', chr(10) || chr(10) || '## ', 'g'),
+    '</(h[1-6]|p|li|div)>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g') as text from pages)"""
+
+
+def page_text(t) -> DataFrame:
+    text = F.col("html")
+    for pattern, new in (
+        (r"<h1[^>]*>", "\n\n# "), (r"<h[2-6][^>]*>", "\n\n## "), (r"</(h[1-6]|p|li|div)>", "\n\n"), (r"<[^>]+>", ""),
+    ):
+        text = F.regexp_replace(text, pattern, new)
+    return t.pages.select(F.col("page_id").alias("doc_id"), text.alias("text"))
+
+
+LINES_CTE = """lines as (select doc_id, unnest(string_split(text, chr(10))) as line,
+ unnest(generate_series(1, len(string_split(text, chr(10))))) as line_no from documents)"""
