@@ -66,7 +66,16 @@ def separator_chunks(
 
 def paragraph_spans(text: Column) -> Column:
     """array<struct<text,start,end>> of the non-blank paragraphs, located after trimming."""
-    pieces = sp.regex_spans(text, r"(?:[^\n]|\n(?!\n))+")
+    paragraphs = F.split(text, r"\n\n+", -1)
+    gaps = F.regexp_extract_all(text, F.lit(r"\n\n+"), F.lit(0))
+    steps = F.zip_with(
+        paragraphs, gaps, lambda p, g: F.length(p) + F.coalesce(F.length(g), F.lit(0))
+    )
+    pieces = F.zip_with(
+        paragraphs,
+        sp.starts_from_lengths(steps),
+        lambda p, start: F.struct(p.alias("text"), start.alias("start")),
+    )
 
     def located(s: Column) -> Column:
         body = _blank(s["text"])

@@ -35,6 +35,9 @@ def _blank(text: Column) -> Column:
 def entity_spans(text: Column) -> Column:
     """All matches of the entity patterns as array<struct<start,ord,end,type,text,confidence>>."""
 
+    def found(kind: str, pattern: str) -> Column:
+        return _name_spans(text) if kind == "PERSON" else sp.regex_spans(text, pattern)
+
     def tagged(kind: str, pattern: str, order: int) -> Column:
         def one(s: Column) -> Column:
             return F.struct(
@@ -46,11 +49,37 @@ def entity_spans(text: Column) -> Column:
                 F.lit(0.7).alias("confidence"),
             )
 
-        return F.transform(sp.regex_spans(text, pattern), one)
+        return F.transform(found(kind, pattern), one)
 
     return F.concat(*[tagged(k, p, i) for i, (k, p) in enumerate(lx.ENTITY_PATTERNS)])
 
 
+def _name_spans(text: Column) -> Column:
+    """Runs of two or more capitalised words.
+
+    A repeated group would make the JVM's regex engine recurse once per word of a run, so single
+    words are matched and neighbours separated only by white space are merged.
+    """
+    shape = "struct<start:int,end:int,text:string>"
+
+    def step(acc: Column, word: Column) -> Column:
+        last = F.element_at(acc, -1)
+        gap = F.substring(text, last["end"] + 1, word["start"] - last["end"])
+        joined = F.struct(
+            last["start"].alias("start"),
+            word["end"].alias("end"),
+            F.concat(last["text"], gap, word["text"]).alias("text"),
+        )
+        return F.when(
+            (F.size(acc) > 0) & gap.rlike(r"^\s+$"),
+            F.array_append(F.slice(acc, 1, F.size(acc) - 1), joined),
+        ).otherwise(F.array_append(acc, word))
+
+    words = sp.regex_spans(text, r"\b[A-Z][a-z]+\b")
+    runs = F.aggregate(words, F.array().cast(f"array<{shape}>"), step)
+    return F.filter(runs, lambda r: r["text"].rlike(r"\s"))
+
+
 ENTITY_STRUCT = "struct<start:int,ord:int,end:int,type:string,text:string,confidence:double>"
 
 
