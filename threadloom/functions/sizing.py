@@ -27,3 +27,13 @@ def inline_rows(rows: Sequence[Row], schema: str) -> Column:
     """A constant array<struct> holding rows of a checked size, usable inside a projection."""
     payload = json.dumps([r.asDict(recursive=True) for r in rows], default=str)
     return F.from_json(F.lit(payload), f"array<struct<{schema}>>")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-distribute a table that arrives in fewer partitions than there are cores.
+
+    Text work is CPU-bound; a table read as one or two file splits would leave most cores idle.
+    A large table already has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

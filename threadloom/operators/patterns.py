@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from threadloom import lexicons as lx
@@ -223,30 +223,34 @@ def regex_matches(
     The rules are driver-side constants, so each becomes one expression of a single narrow
     projection; patterns that do not compile are skipped.
     """
-    usable = [r for r in rules if _compiles(r["pattern"])]
-    names = [k for k in (rules[0] if rules else {"pattern": ""}) if k != "pattern"]
-    def tagged(rule: dict) -> Column:
-        def one(s: Column) -> Column:
-            return F.struct(
-                *[F.lit(rule[n]).alias(n) for n in names],
-                F.lit(rule["pattern"]).alias("pattern"),
+    usable = [
+        {**r, "regex": flags + sp.ascii_boundaries(r["pattern"])}
+        for r in rules
+        if _compiles(r["pattern"])
+    ]
+    if not usable:
+        raise ValueError("no usable pattern among the rules")
+    fields = [k for k in usable[0] if k != "regex"]
+    types = {int: "int", float: "double", bool: "boolean", str: "string"}
+    schema = ", ".join(f"{k} {types[type(v)]}" for k, v in usable[0].items())
+    # one expression walks the whole rule list, so the plan does not grow with the rules; the
+    # generator takes it directly: over a named array the optimizer would add a size filter,
+    # push it below the projection and compute every span twice
+    table = inline_rows([Row(**r) for r in usable], schema)
+
+    def apply_rule(rule: Column) -> Column:
+        return F.transform(
+            sp.regex_spans(F.col(text_col), rule["regex"]),
+            lambda s: F.struct(
+                *[rule[f].alias(f) for f in fields],
                 s["start"].alias("start"),
                 s["end"].alias("end"),
                 s["text"].alias("matched_text"),
-            )
+            ),
+        )
 
-        spans = sp.regex_spans(F.col(text_col), flags + sp.ascii_boundaries(rule["pattern"]))
-        return F.transform(spans, one)
-
-    per_rule = [tagged(r) for r in usable]
-    if not per_rule:
-        raise ValueError("no usable pattern among the rules")
-    return (
-        docs.select(id_col, text_col, F.flatten(F.array(*per_rule)).alias("__ms"))
-        .where(F.size("__ms") > 0)
-        .select(id_col, text_col, F.explode("__ms").alias("__m"))
-        .select(id_col, text_col, "__m.*")
-    )
+    found = F.explode(F.flatten(F.transform(table, apply_rule)))
+    return docs.select(id_col, text_col, found.alias("__m")).select(id_col, text_col, "__m.*")
 
 
 def _compiles(pattern: str) -> bool:
@@ -309,32 +313,27 @@ def evaluate_rules(
     rows = rows_within(rules.where("enabled"), 1_000)
     if rows is None:
         raise ValueError("more than 1000 enabled rules; split the rule table into several calls")
-    regexes, keywords = [], []
+    compiled = []
     for r in rows:
         base = dict(
             ruleset_id=r["ruleset_id"], rule_id=r["rule_id"], type=r["type"], priority=r["priority"],
             action=r["action"], confidence=lx.RULE_CONFIDENCE.get(r["type"], 0.0), cut=0,
         )
         if r["type"] == "regex":
-            regexes.append({**base, "pattern": r["pattern"]})
+            compiled.append({**base, "pattern": r["pattern"]})
         elif r["type"] == "path":
-            regexes.append({**base, "pattern": glob_to_regex(r["pattern"])})
+            compiled.append({**base, "pattern": glob_to_regex(r["pattern"])})
         elif r["type"] == "structural" and r["pattern"] in lx.STRUCTURES:
-            regexes.append({**base, "pattern": lx.STRUCTURES[r["pattern"]], "cut": 100})
+            compiled.append({**base, "pattern": lx.STRUCTURES[r["pattern"]], "cut": 100})
         elif r["type"] == "keyword":
-            keywords += [
+            compiled += [
                 {**base, "pattern": re.escape(k.strip().lower())}
                 for k in r["pattern"].split(",") if k.strip()
             ]
-    parts = [
-        regex_matches(docs, group, id_col, text_col) for group in (regexes, keywords) if group
-    ]
-    if not parts:
+    if not compiled:
         empty = "ruleset_id string, rule_id string, type string, priority int, action string, confidence double, start int, end int, matched_text string"
         return docs.sparkSession.createDataFrame([], f"{id_col} bigint, {empty}")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = regex_matches(docs, compiled, id_col, text_col)
     text = F.when(F.col("cut") > 0, F.substring("matched_text", 1, 100)).otherwise(F.col("matched_text"))
     return out.withColumn("matched_text", text).select(
         id_col, "ruleset_id", "rule_id", "type", "priority", "action", "confidence", "start", "end",

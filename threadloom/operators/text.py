@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from threadloom import lexicons as lx
 from threadloom.functions import spans as sp
 from threadloom.functions import textfn as tx
-from threadloom.functions.ordered import following
+from threadloom.functions.sizing import inline_rows
 from threadloom.operators.patterns import numbered_lines
 
 SENTENCE = r"[^.!?]*[.!?]+(?:\s|$)|[^.!?]+$"
@@ -35,23 +35,32 @@ def _blank(text: Column) -> Column:
 def entity_spans(text: Column) -> Column:
     """All matches of the entity patterns as array<struct<start,ord,end,type,text,confidence>>."""
 
-    def found(kind: str, pattern: str) -> Column:
-        return _name_spans(text) if kind == "PERSON" else sp.regex_spans(text, pattern)
-
-    def tagged(kind: str, pattern: str, order: int) -> Column:
-        def one(s: Column) -> Column:
-            return F.struct(
+    def tagged(spans: Column, kind: Column, order: Column) -> Column:
+        return F.transform(
+            spans,
+            lambda s: F.struct(
                 s["start"].alias("start"),
-                F.lit(order).alias("ord"),
+                order.alias("ord"),
                 s["end"].alias("end"),
-                F.lit(kind).alias("type"),
+                kind.alias("type"),
                 s["text"].alias("text"),
                 F.lit(0.7).alias("confidence"),
-            )
-
-        return F.transform(found(kind, pattern), one)
+            ),
+        )
 
-    return F.concat(*[tagged(k, p, i) for i, (k, p) in enumerate(lx.ENTITY_PATTERNS)])
+    table = inline_rows(
+        [
+            Row(ord=i, type=kind, regex=sp.ascii_boundaries(pattern))
+            for i, (kind, pattern) in enumerate(lx.ENTITY_PATTERNS)
+            if kind != "PERSON"
+        ],
+        "ord int, type string, regex string",
+    )
+    by_pattern = F.flatten(
+        F.transform(table, lambda p: tagged(sp.regex_spans(text, p["regex"]), p["type"], p["ord"]))
+    )
+    names = tagged(_name_spans(text), F.lit("PERSON"), F.lit(len(lx.ENTITY_PATTERNS)))
+    return F.concat(by_pattern, names)
 
 
 def _name_spans(text: Column) -> Column:
@@ -93,7 +102,7 @@ def extract_entities(
     spans = entity_spans(F.col(text_col))
     if resolve_overlaps:
         spans = sp.drop_overlaps(spans, ENTITY_STRUCT)
-    out = docs.select(id_col, spans.alias("es")).select(id_col, F.explode("es").alias("e")).select(
+    out = docs.select(id_col, F.explode(spans).alias("e")).select(
         id_col, "e.type", "e.text", "e.start", "e.end", "e.confidence"
     )
     return out.where(F.col("type").isin(types)) if types else out

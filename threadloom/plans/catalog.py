@@ -7,8 +7,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from threadloom.functions.sizing import spread
 from threadloom.session import read_table
 
+# tables whose rows are expensive to process, with their row key
+_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
 
 @dataclass(frozen=True)
 class Query:
@@ -28,7 +32,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.folder, name)
+        table = read_table(self.spark, self.folder, name)
+        return spread(table, _TEXT_TABLES[name]) if name in _TEXT_TABLES else table
 
 
 def query(name: str, ops: str, sql: str | None = None):
