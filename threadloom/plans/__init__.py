@@ -2,7 +2,9 @@
 
 from threadloom.plans import (  # noqa: F401  (importing registers the queries)
     patterns,
+    talks,
     texts,
+    usage,
 )
 from threadloom.plans.catalog import QUERIES
 
