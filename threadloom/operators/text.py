@@ -11,8 +11,10 @@ from threadloom.functions import textfn as tx
 from threadloom.functions.sizing import inline_rows
 from threadloom.operators.patterns import numbered_lines
 
-SENTENCE = r"[^.!?]*[.!?]+(?:\s|$)|[^.!?]+$"
-TERMINATED_SENTENCE = r"[^.!?]+[.!?]+"
+# The look-behinds admit only the places where a sentence can begin. Without them the engine
+# retries every character of an unterminated stretch and its time grows with the square of it.
+SENTENCE = r"(?:(?<![^.!?])|(?<=[.!?]\s))(?:[^.!?]*+[.!?]+(?:\s|$)|[^.!?]++$)"
+TERMINATED_SENTENCE = r"(?<![^.!?])[^.!?]++[.!?]+"
 
 
 def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

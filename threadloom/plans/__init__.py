@@ -1,9 +1,11 @@
 """Named queries over the driver tables."""
 
 from threadloom.plans import (  # noqa: F401  (importing registers the queries)
+    finding,
     patterns,
     talks,
     texts,
+    trust,
     usage,
 )
 from threadloom.plans.catalog import QUERIES
