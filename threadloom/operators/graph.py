@@ -151,17 +151,19 @@ def entity_timeline(edges: DataFrame, vertices: DataFrame, vertex, start: Column
 def fact_contradictions(facts: DataFrame, claims: DataFrame, entity: str = "entity", text: str = "text") -> DataFrame:
     """Negating claims that share a word with a recorded fact of the same entity.
 
-    Facts and claims meet on (entity, word), and each claim and fact pair is kept once; the
-    inverted index replaces comparing all claims with all facts of an entity.
+    Facts are reduced to one row per (entity, word) before they meet the claims' words, so the
+    work is linear in the texts; a claim comes with its earliest conflicting fact and the number
+    of shared words. ``facts`` and ``claims`` have ``id, entity, text``.
     """
-    words = lambda df, prefix: df.select(
-        entity, F.col("id").alias(f"{prefix}_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0)))).alias("word")
+    words = lambda df: df.select(
+        entity, "id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0)))).alias("word")
     )
     negating = claims.where(F.lower(text).rlike(r"(^|[^a-z])(not|never|no|didn't|wasn't|isn't|don't)([^a-z]|$)"))
     stop = ["not", "never", "the", "and", "was", "did"]
-    pairs = words(facts, "fact").where(~F.col("word").isin(stop)).join(words(negating, "claim"), [entity, "word"])
-    return pairs.where("fact_id <> claim_id").groupBy(entity, "fact_id", "claim_id").agg(
-        F.count("*").alias("shared_words")
+    known = words(facts).where(~F.col("word").isin(stop)).groupBy(entity, "word").agg(F.min("id").alias("fact_id"))
+    hits = words(negating).withColumnRenamed("id", "claim_id").join(known, [entity, "word"])
+    return hits.groupBy(entity, "claim_id").agg(
+        F.min("fact_id").alias("first_fact_id"), F.count("*").alias("shared_words")
     ).withColumn("confidence", F.lit(0.7))
 
 

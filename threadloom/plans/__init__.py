@@ -2,6 +2,7 @@
 
 from threadloom.plans import (  # noqa: F401  (importing registers the queries)
     finding,
+    flows,
     patterns,
     talks,
     texts,

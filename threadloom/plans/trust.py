@@ -25,7 +25,7 @@ def _(t):
 
 _CHAIN = """c0 as (select doc_id as evidence_id, 0 as seq, 'original' as stage, case when doc_id % 13 = 0 then md5(text) else sha256(text) end as hash, null as input_hash, 0 as t, sha256(text) as original_hash from documents where doc_id % 17 <> 0),
 c1 as (select doc_id as evidence_id, 1 as seq, 'parsed' as stage, sha256(lower(text)) as hash, case when doc_id % 11 = 0 then 'bad' when doc_id % 13 = 0 then md5(text) else sha256(text) end as input_hash, case when doc_id % 7 = 0 then -5 else 5 end as t, sha256(text) as original_hash from documents where doc_id % 17 <> 0),
-c2 as (select doc_id as evidence_id, 2 as seq, 'exported' as stage, sha256(upper(text)) as hash, sha256(lower(text)) as input_hash, 10 as t, sha256(text) as original_hash from documents where doc_id % 17 <> 0 and doc_id % 2 = 0),
+c2 as (select doc_id as evidence_id, 2 as seq, 'exported' as stage, sha256(text || '!') as hash, sha256(lower(text)) as input_hash, 10 as t, sha256(text) as original_hash from documents where doc_id % 17 <> 0 and doc_id % 2 = 0),
 chain as (select * from c0 union all select * from c1 union all select * from c2)"""
 
 
@@ -38,7 +38,7 @@ def _chain(t):
     parsed = docs.select(F.col("doc_id").alias("evidence_id"), F.sha2(F.lower("text"), 256).alias("hash"))
     chain = cu.add_stage(base, parsed, "parsed", at(F.when(F.col("evidence_id") % 7 == 0, -5).otherwise(5)))
     chain = chain.withColumn("input_hash", F.when((F.col("seq") == 1) & (F.col("evidence_id") % 11 == 0), "bad").otherwise(F.col("input_hash")))
-    exported = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("evidence_id"), F.sha2(F.upper("text"), 256).alias("hash"))
+    exported = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("evidence_id"), F.sha2(F.concat("text", F.lit("!")), 256).alias("hash"))
     return cu.add_stage(chain, exported, "exported", at(F.lit(10)))
 
 
@@ -181,11 +181,19 @@ def _(t):
     return gr.neighbourhood(_edges(t), t.spark.createDataFrame([("s1",)], "id string"), 3)
 
 
-@query("graph_paths", "GR-06", f"""with recursive {_G}, st as (select src, dst from edges union select dst, src from edges),
-w(id, path, hops) as (select 's1', ['s1'], 0 union all select st.dst, list_append(path, st.dst), hops + 1 from w join st on st.src = w.id where hops < 4 and not list_contains(path, st.dst) and (hops + 1 < 4 or st.dst = 'n9') and (substring(st.dst, 1, 1) in ('n', 'r')))
-select hops::int as hops, array_to_string(path, '>') as path from w where id = 'n9' and hops = (select min(hops) from w where id = 'n9') order by path limit 10""")
+_TARGET = "(select 'n' || min(b.n_nationkey) from supplier join nation a on a.n_nationkey = s_nationkey join nation b on b.n_regionkey = a.n_regionkey and b.n_nationkey <> a.n_nationkey where s_suppkey = 1)"
+
+
+@query("graph_paths", "GR-06", f"""with recursive {_G}, st as (select src, dst from edges where type <> 'LIVES_IN' union select dst, src from edges where type <> 'LIVES_IN'),
+w(id, path, hops) as (select 's1', ['s1'], 0 union all select st.dst, list_append(path, st.dst), hops + 1 from w join st on st.src = w.id where hops < 5 and not list_contains(path, st.dst))
+select hops::int as hops, array_to_string(path, '>') as path from w where id = {_TARGET} and hops = (select min(hops) from w where id = {_TARGET}) order by path limit 10""")
 def _(t):
-    return gr.shortest_paths(_edges(t), "s1", "n9", 5).select("hops", F.array_join("path", ">").alias("path"))
+    home, other = t.nation.alias("a"), t.nation.alias("b")
+    target = (t.supplier.where("s_suppkey = 1").join(home, F.col("s_nationkey") == F.col("a.n_nationkey"))
+              .join(other, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") != F.col("b.n_nationkey")))
+              .agg(F.min("b.n_nationkey")).first()[0])
+    paths = gr.shortest_paths(_edges(t), "s1", f"n{target}", 5, types=["BASED_IN", "PART_OF"])
+    return paths.select("hops", F.array_join("path", ">").alias("path"))
 
 
 @query("entity_timeline", "GR-07", f"""with {_G} select src, dst, strftime(valid_from, '%Y-%m-%d') as valid_from from edges where (src = 'n5' or dst = 'n5') and valid_from between timestamp '2024-01-10' and timestamp '2024-02-10' order by edges.valid_from desc, src, dst, type limit 50""")
@@ -200,14 +208,15 @@ def _(t):
     return gr.valid_at(_edges(t), F.lit("2024-02-20").cast("timestamp_ntz")).select("src", "dst", "type")
 
 
-@query("fact_contradictions", "GR-09", """with f as (select doc_id as id, source as entity, text from documents where doc_id % 2 = 0), c as (select doc_id as id, source as entity, text || case when doc_id % 3 = 0 then ' not' else '' end as text from documents where doc_id % 2 = 1),
+@query("fact_contradictions", "GR-09", """with d as (select doc_id as id, source as entity, text, (doc_id // 20) % 2 as side from documents), f as (select * from d where side = 0),
+c as (select id, entity, text || case when id % 3 = 0 then ' not' else '' end as text from d where side = 1),
 n as (select * from c where regexp_matches(lower(text), '(^|[^a-z])(not|never|no|didn''t|wasn''t|isn''t|don''t)([^a-z]|$)')),
 fw as (select id, entity, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: x not in ('not','never','the','and','was','did')))) as w from f), cw as (select id, entity, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) as w from n)
-select fw.entity, fw.id as fact_id, cw.id as claim_id, count(*) as shared_words from fw join cw on fw.entity = cw.entity and fw.w = cw.w group by all""")
+select fw.entity, cw.id as claim_id, min(fw.id) as first_fact_id, count(distinct fw.w) as shared_words from fw join cw on fw.entity = cw.entity and fw.w = cw.w group by all""")
 def _(t):
-    d = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("entity"), "text")
-    claims = d.where("id % 2 = 1").withColumn("text", F.concat("text", F.when(F.col("id") % 3 == 0, " not").otherwise("")))
-    return gr.fact_contradictions(d.where("id % 2 = 0"), claims).drop("confidence")
+    d = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("entity"), "text", (F.floor(F.col("doc_id") / 20) % 2).alias("side"))
+    claims = d.where("side = 1").withColumn("text", F.concat("text", F.when(F.col("id") % 3 == 0, " not").otherwise("")))
+    return gr.fact_contradictions(d.where("side = 0"), claims).drop("confidence")
 
 
 @query("changing_relations", "GR-09", """with e as (select user_id, event_type, ts, (props::json ->> '$.k')::int // 20 as dst from events), l as (select *, lag(dst) over (partition by user_id, event_type order by ts, dst) as p from e)
@@ -223,7 +232,7 @@ def _(t):
     return gr.subgraph(_vertices(t), _edges(t), ids)[1].select("src", "dst", "type")
 
 
-@query("vertex_delete", "GR-11", f"""with {_G} select type, count(*) as n from edges where src not in (select 'c' || c_custkey from customer where c_custkey % 5 = 0) and dst <> 'n0' group by 1""")
+@query("vertex_delete", "GR-11", f"""with {_G} select type, count(*) as n from edges where src not in (select 'c' || c_custkey from customer where c_custkey % 5 = 0) and src <> 'n0' and dst <> 'n0' group by 1""")
 def _(t):
     ids = t.customer.where("c_custkey % 5 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("id")).unionByName(t.nation.where("n_nationkey = 0").select(F.concat(F.lit("n"), "n_nationkey").alias("id")))
     return gr.delete_vertices(_vertices(t), _edges(t), ids)[1].groupBy("type").agg(F.count("*").alias("n"))

@@ -1,0 +1 @@
+"""Output formats."""

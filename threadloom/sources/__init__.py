@@ -1,0 +1 @@
+"""Input formats."""
