@@ -31,16 +31,15 @@ def _flat(c="text"):
 @query("sms_xml_messages", "SRC-03", f"""with {MESSAGES_CTE} select strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, case when sender = 'user' then 'Me' else 'C' || conv_id end as sender,
  case when sender = 'user' then 'C' || conv_id else 'Me' end as recipient, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as text_md5, case when turn % 5 = 0 then 'mms' else 'sms' end as kind, '+1555' || conv_id as address from messages where trim(text) <> ''""")
 def _(t):
-    esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    m = messages(t)
-    line = F.concat(
-        F.when(F.col("turn") % 5 == 0, "<mms").otherwise("<sms"), F.lit(' address="+1555'), "conv_id", F.lit('" contact_name="C'), "conv_id",
-        F.lit('" date="'), F.unix_millis(F.col("ts").cast("timestamp")), F.lit('" type="'), F.when(F.col("sender") == "user", "2").otherwise("1"),
-        F.lit('" body="'), esc(F.trim(_flat())), F.lit('"></'), F.when(F.col("turn") % 5 == 0, "mms>").otherwise("sms>"))
     path = scratch_path(t.spark, "sms-xml")
-    m.select(line.alias("value")).write.text(path)
-    out = rd.read_sms_xml(t.spark, path)
-    return out.select(F.date_format("ts", _FMT).alias("ts"), "sender", "recipient", F.md5("text").alias("text_md5"), "kind", "address")
+    m = messages(t).where("trim(text) <> ''")
+    out = m.select(
+        F.concat(F.lit("+1555"), "conv_id").alias("_address"), F.concat(F.lit("C"), "conv_id").alias("_contact_name"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("_date"), F.when(F.col("sender") == "user", "2").otherwise("1").alias("_type"), F.trim(_flat()).alias("_body"), "turn")
+    for tag, part in (("sms", out.where("turn % 5 <> 0")), ("mms", out.where("turn % 5 = 0"))):
+        part.drop("turn").write.format("xml").option("rootTag", "smses").option("rowTag", tag).save(f"{path}/{tag}")
+    back = rd.read_sms_xml(t.spark, f"{path}/*")
+    return back.select(F.date_format("ts", _FMT).alias("ts"), "sender", "recipient", F.md5("text").alias("text_md5"), "kind", "address")
 
 
 @query("json_messages", "SRC-01 SNK-01", "select conv_id, turn, role, md5(text) as text_md5, (select count(*) from conversations) as exported from conversations")
@@ -313,13 +312,7 @@ r as (select *, case when p is null then 'first_message' when epoch_us(ts) - epo
 select user_id::varchar as platform, event_id as message_id, sum((reason is not null)::int) over (partition by user_id order by ts, event_id)::bigint as segment_no, reason from r""")
 def _(t):
     stream = _events(t).select(F.col("user_id").cast("string").alias("platform"), F.col("event_id").alias("message_id"), "ts", F.col("event_type").alias("topic"))
-    return sj.run_to_table(_with_rocksdb(t, lambda: sj.segment_stream(stream)), "stream-segments")
-
-
-def _with_rocksdb(t, build):
-    """Custom state needs the RocksDB provider."""
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return build()
+    return sj.run_to_table(sj.segment_stream(stream), "stream-segments")
 
 
 @query("stream_averages", "ST-10", f"""with {CALLS_CTE}, o as (select provider, success, duration, row_number() over w as i, count(*) over (partition by provider) as n, count(*) filter (success and duration > 0) over w as j, count(*) filter (success and duration > 0) over (partition by provider) as m from calls window w as (partition by provider order by ts, event_id))
@@ -327,7 +320,7 @@ select provider, any_value(n) as calls, round(pow(0.9, any_value(n)) + sum(0.1 *
 def _(t):
     path = scratch_path(t.spark, "stream-averages")
     stream = _events(t).withColumn("provider", F.concat(F.lit("p"), F.col("user_id") % 3)).select("provider", "event_id", "ts", "success", "duration")
-    sj.run_batches(_with_rocksdb(t, lambda: sj.averages_stream(stream)), "stream-averages", sj.upsert_batches(path, ["provider"], ["calls"]), "update")
+    sj.run_batches(sj.averages_stream(stream), "stream-averages", sj.upsert_batches(path, ["provider"], ["calls"]), "update")
     out = sj.latest_version(t.spark, path)
     return out.select("provider", "calls", F.round("success_rate", 6).alias("success_rate"), F.round("avg_latency", 6).alias("avg_latency"))
 

@@ -30,7 +30,13 @@ def csv_rows(messages: DataFrame) -> DataFrame:
 
 
 def write_csv(messages: DataFrame, path: str) -> None:
-    csv_rows(messages).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    _csv(csv_rows(messages), path)
+
+
+def _csv(rows: DataFrame, path: str) -> None:
+    """Fully quoted CSV with quotes doubled; blanks at either end of a value are part of it."""
+    writer = rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def markdown_lines(messages: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -96,8 +102,10 @@ def batch_export(df: DataFrame, destinations: Mapping[str, Callable[[DataFrame],
 
 
 def write_chunks(chunks: DataFrame, path: str, fmt: str = "jsonl") -> None:
-    writer = chunks.write.mode("overwrite")
-    writer.option("header", True).option("quoteAll", True).option("escape", '"').csv(path) if fmt == "csv" else writer.json(path)
+    if fmt == "csv":
+        _csv(chunks, path)
+    else:
+        chunks.write.mode("overwrite").json(path)
 
 
 def split_conversations(turns: DataFrame, path: str, n: int, key: str = "conv_id") -> None:

@@ -11,9 +11,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from threadloom.functions import spans as sp
 from threadloom.operators.tables import upsert
 from threadloom.session import scratch_path
 
@@ -147,75 +146,79 @@ def append_batches(path: str) -> Callable[[DataFrame, int], None]:
 
 # --- custom state ----------------------------------------------------------------------------
 
+STATE_TTL_MS = 30 * 24 * 3600 * 1000
 
-class _Segmenter(StatefulProcessor):
-    """Previous time, topic and segment number per key; one row of state, dropped after the TTL."""
 
-    def __init__(self, gap_seconds: int):
-        self.gap = gap_seconds
+def _expire_later(state: GroupState, last_ms: int) -> None:
+    """Drop the state once the watermark is a TTL past the key's last event.
+
+    Event time, because a processing-time timeout keeps an available-now query running for ever.
+    """
+    state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + STATE_TTL_MS)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "ts timestamp, topic string, seq long", 30 * 24 * 3600 * 1000)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = [pdf for pdf in rows]
-        pdf = pd.concat(frames).sort_values(["ts", "message_id"])
-        known = self.state.get() if self.state.exists() else None
-        last_ts, topic, seq = (pd.Timestamp(known[0]), known[1], known[2]) if known else (None, None, 0)
-        out = []
-        for r in pdf.itertuples(index=False):
-            reason = None
-            if last_ts is None:
+def segment_stream(stream: DataFrame, gap_seconds: int = 7200, delay: str = "72 hours") -> DataFrame:
+    """Conversation segments of a stream with ``platform, message_id, ts, topic``, in arrival batches.
+
+    State per key is one row (last time, topic, segment number) that expires after the TTL.
+    """
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(batches)).sort_values(["us", "message_id"])
+        last, topic, seq = state.get if state.exists else (None, None, 0)
+        rows = []
+        for us, mid, subject in zip(pdf["us"], pdf["message_id"], pdf["topic"]):
+            if last is None:
                 reason = "first_message"
-            elif (r.ts - last_ts).total_seconds() > self.gap:
+            elif us - last > gap_seconds * 1_000_000:
                 reason = "time_gap"
-            elif r.topic != topic:
+            elif subject != topic:
                 reason = "topic_change"
+            else:
+                reason = None
             seq += reason is not None
-            out.append((key[0], r.message_id, seq, reason))
-            last_ts, topic = r.ts, r.topic
-        self.state.update((last_ts.to_pydatetime(), topic, seq))
-        yield pd.DataFrame(out, columns=["platform", "message_id", "segment_no", "reason"])
-
-    def close(self) -> None:
-        pass
-
-
-def segment_stream(stream: DataFrame, gap_seconds: int = 7200) -> DataFrame:
-    """Conversation segments of a stream with ``platform, message_id, ts, topic``, in arrival batches."""
-    timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    return timed.groupBy("platform").transformWithStateInPandas(
-        _Segmenter(gap_seconds), "platform string, message_id long, segment_no long, reason string", "Append", "ProcessingTime"
+            rows.append((key[0], mid, seq, reason))
+            last, topic = int(us), subject
+        state.update((last, topic, seq))
+        _expire_later(state, last // 1000)
+        yield pd.DataFrame(rows, columns=["platform", "message_id", "segment_no", "reason"])
+
+    timed = event_time(stream, "ts", delay).withColumn("us", F.unix_micros("ts"))
+    return timed.groupBy("platform").applyInPandasWithState(
+        step,
+        "platform string, message_id long, segment_no long, reason string",
+        "last long, topic string, seq long",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
-class _Averager(StatefulProcessor):
-    """Moving averages of success and latency per provider."""
-
-    def __init__(self, alpha: float):
-        self.alpha = alpha
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ema", "ok double, latency double, calls long", 30 * 24 * 3600 * 1000)
+def averages_stream(stream: DataFrame, alpha: float = 0.1, delay: str = "72 hours") -> DataFrame:
+    """Running averages per provider after every batch (``provider, event_id, ts, success, duration``)."""
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat([p for p in rows]).sort_values(["ts", "event_id"])
-        ok, latency, calls = self.state.get() if self.state.exists() else (1.0, 0.0, 0)
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(batches)).sort_values(["us", "event_id"])
+        ok, latency, calls = state.get if state.exists else (1.0, 0.0, 0)
         for success, duration in zip(pdf["success"], pdf["duration"]):
-            ok = self.alpha * float(success) + (1 - self.alpha) * ok
+            ok = alpha * float(success) + (1 - alpha) * ok
             if success and duration > 0:
-                latency = self.alpha * duration + (1 - self.alpha) * latency
+                latency = alpha * float(duration) + (1 - alpha) * latency
             calls += 1
-        self.state.update((ok, latency, calls))
+        state.update((ok, latency, calls))
+        _expire_later(state, int(pdf["us"].iloc[-1]) // 1000)
         yield pd.DataFrame([(key[0], calls, ok, latency)], columns=["provider", "calls", "success_rate", "avg_latency"])
 
-    def close(self) -> None:
-        pass
-
-
-def averages_stream(stream: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """Running averages per provider after every batch (``provider, event_id, ts, success, duration``)."""
-    timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    return timed.groupBy("provider").transformWithStateInPandas(
-        _Averager(alpha), "provider string, calls long, success_rate double, avg_latency double", "Update", "ProcessingTime"
+    timed = event_time(stream, "ts", delay).withColumn("us", F.unix_micros("ts"))
+    return timed.groupBy("provider").applyInPandasWithState(
+        step,
+        "provider string, calls long, success_rate double, avg_latency double",
+        "ok double, latency double, calls long",
+        "update",
+        GroupStateTimeout.EventTimeTimeout,
     )
