@@ -47,9 +47,8 @@ def find_all(text: Column, pattern: Column | str) -> Column:
     return F.regexp_extract_all(text, _as_column(pattern), F.lit(0))
 
 
-def starts_from_lengths(lengths: Column) -> Column:
-    """Exclusive prefix sums of array<int>."""
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
+def _prefix_fold(lengths: Column, start: Column) -> Column:
+    zero = F.struct(start.alias("pos"), F.array().cast("array<int>").alias("out"))
     return F.aggregate(
         lengths,
         zero,
@@ -60,6 +59,28 @@ def starts_from_lengths(lengths: Column) -> Column:
     )
 
 
+def starts_from_lengths(lengths: Column, block: int = 256) -> Column:
+    """Exclusive prefix sums of array<int>.
+
+    Appending copies the array, so one fold over n items costs n squared. Sums of blocks are
+    folded first and every block then on its own, which keeps long texts near linear.
+    """
+
+    def blocked(ls: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(ls) - 1) / F.lit(block)).cast("int"))
+        part = lambda k: F.slice(ls, k * block + 1, F.lit(block))
+        sums = F.transform(blocks, lambda k: F.aggregate(part(k), F.lit(0), lambda a, x: a + x))
+        return let(
+            _prefix_fold(sums, F.lit(0)),
+            lambda bases: F.flatten(F.transform(bases, lambda base, k: _prefix_fold(part(k), base))),
+        )
+
+    return let(
+        lengths,
+        lambda ls: F.when(F.size(ls) > block, blocked(ls)).otherwise(_prefix_fold(ls, F.lit(0))),
+    )
+
+
 def regex_spans(text: Column, pattern: Column | str) -> Column:
     """array<struct<start,end,text>> of the non-overlapping matches of a pattern.
 
@@ -70,20 +91,24 @@ def regex_spans(text: Column, pattern: Column | str) -> Column:
         pattern = ascii_boundaries(pattern)
     pat = _as_column(pattern)
     empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    zero = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        start = acc["pos"] + piece["gap"]
-        end = start + F.length(piece["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), piece["hit"].alias("text"))
-        return F.struct(end.alias("pos"), F.array_append(acc["out"], span).alias("out"))
 
     def locate(hits: Column) -> Column:
         gaps = F.slice(F.transform(F.split(text, pat, -1), F.length), 1, F.size(hits))
         pieces = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-        spans = F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+
+        def place(ps: Column) -> Column:
+            bases = starts_from_lengths(F.transform(ps, lambda p: p["gap"] + F.length(p["hit"])))
+
+            def span(p: Column, base: Column) -> Column:
+                start = base + p["gap"]
+                return F.struct(
+                    start.alias("start"), (start + F.length(p["hit"])).alias("end"), p["hit"].alias("text")
+                )
+
+            return F.zip_with(ps, bases, span)
+
         # most texts match nothing; they skip the second pass
-        return F.when(F.size(hits) == 0, empty).otherwise(spans)
+        return F.when(F.size(hits) == 0, empty).otherwise(let(pieces, place))
 
     return let(F.regexp_extract_all(text, pat, F.lit(0)), locate)
 

@@ -71,24 +71,40 @@ def _name_spans(text: Column) -> Column:
     A repeated group would make the JVM's regex engine recurse once per word of a run, so single
     words are matched and neighbours separated only by white space are merged.
     """
-    shape = "struct<start:int,end:int,text:string>"
-
-    def step(acc: Column, word: Column) -> Column:
-        last = F.element_at(acc, -1)
-        gap = F.substring(text, last["end"] + 1, word["start"] - last["end"])
-        joined = F.struct(
-            last["start"].alias("start"),
-            word["end"].alias("end"),
-            F.concat(last["text"], gap, word["text"]).alias("text"),
+    pattern = sp.ascii_boundaries(r"\b[A-Z][a-z]+\b")
+
+    def runs(both: Column) -> Column:
+        words, gaps = both["words"], both["gaps"]
+        opens = F.filter(
+            F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | ~gaps[i].rlike(r"^\s+$")
         )
-        return F.when(
-            (F.size(acc) > 0) & gap.rlike(r"^\s+$"),
-            F.array_append(F.slice(acc, 1, F.size(acc) - 1), joined),
-        ).otherwise(F.array_append(acc, word))
-
-    words = sp.regex_spans(text, r"\b[A-Z][a-z]+\b")
-    runs = F.aggregate(words, F.array().cast(f"array<{shape}>"), step)
-    return F.filter(runs, lambda r: r["text"].rlike(r"\s"))
+
+        def joined(starts: Column) -> Column:
+            def run(first: Column, k: Column) -> Column:
+                after = F.when(k + 1 < F.size(starts), F.get(starts, k + 1)).otherwise(F.size(words))
+                return F.struct(
+                    words[first]["start"].alias("start"),
+                    words[after - 1]["end"].alias("end"),
+                    (after - first).alias("n"),
+                )
+
+            several = F.filter(F.transform(starts, run), lambda r: r["n"] > 1)
+            return F.transform(
+                several,
+                lambda r: F.struct(
+                    r["start"].alias("start"),
+                    r["end"].alias("end"),
+                    F.substring(text, r["start"] + 1, r["end"] - r["start"]).alias("text"),
+                ),
+            )
+
+        empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
+        return F.when(F.size(words) == 0, empty).otherwise(sp.let(opens, joined))
+
+    pieces = F.struct(
+        sp.regex_spans(text, pattern).alias("words"), F.split(text, pattern, -1).alias("gaps")
+    )
+    return sp.let(pieces, runs)
 
 
 ENTITY_STRUCT = "struct<start:int,ord:int,end:int,type:string,text:string,confidence:double>"
