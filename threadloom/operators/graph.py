@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions import ordered
 from threadloom.functions.sizing import broadcast_if_small
 from threadloom.operators.tables import upsert
 from threadloom.session import cut_lineage
@@ -169,8 +170,9 @@ def fact_contradictions(facts: DataFrame, claims: DataFrame, entity: str = "enti
 
 def changing_relations(edges: DataFrame) -> DataFrame:
     """Relations of one source and type whose target changes over time."""
-    w = Window.partitionBy("src", "type").orderBy("valid_from", "dst")
-    moved = edges.withColumn("previous_dst", F.lag("dst").over(w))
+    moved = ordered.previous(
+        edges, ["src", "type"], ["valid_from", "dst"], F.date_trunc("day", "valid_from"), {"previous_dst": "dst"}
+    )
     return moved.where(F.col("previous_dst").isNotNull() & (F.col("previous_dst") != F.col("dst")))
 
 

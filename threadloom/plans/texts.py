@@ -365,3 +365,15 @@ f as (select doc_id, string_split(list_reduce(pieces, lambda a, w: case when len
 select doc_id, (unnest(generate_series(0, len(ps) - 1)))::int as chunk_no, unnest(ps) as chunk from f""")
 def _(t):
     return ch.recursive_chunks(t.documents, 400)
+
+
+@query("nlp_rollup", "AG-02", rf"""with w as (select doc_id, source, regexp_extract_all(lower(text), '\b[a-z]{{3,}}\b') as ws from documents),
+x as (select doc_id, source, unnest(ws) as keyword, unnest(generate_series(0, len(ws) - 1)) as pos from w),
+c as (select doc_id, source, keyword, count(*) as f, min(pos) as p from x where keyword not in {_STOP} group by all),
+r as (select *, row_number() over (partition by doc_id order by f desc, p) as k from c), s as (select *, f / max(f) over (partition by doc_id) as score from r where k <= 10),
+g as (select source, keyword, sum(score) as score, count(*) as n_docs from s group by all)
+select source, keyword, round(score, 5) as score, n_docs, rank from (select *, row_number() over (partition by source order by round(score, 6) desc, keyword) as rank from g) where rank <= 20""")
+def _(t):
+    from threadloom.operators.classify import keyword_rollup
+    keywords = tt.extract_keywords(t.documents).join(t.documents.select("doc_id", "source"), "doc_id")
+    return keyword_rollup(keywords, ["source"]).withColumn("score", F.round("score", 5))
