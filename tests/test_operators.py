@@ -443,3 +443,14 @@ def test_consensus_votes(spark):
     got = cl.consensus(df, ["a", "b", "c"], "pol", "sub", "n", "p", "neg", "pri", F.lit(6)).collect()
     assert (got[0].label, got[0].severity) == ("abusive", 10)
     assert (got[1].label, got[1].sarcasm, got[1].severity) == ("positive", True, 9)
+
+
+def test_rule_blocks(spark, monkeypatch):
+    from threadloom.functions import sizing
+
+    d = docs(spark, "one two three two", "three")
+    rows = [("s", f"r{i}", w, "keyword", w, i, True, "flag") for i, w in enumerate(["one", "two", "three", "four"])]
+    rules = spark.createDataFrame(rows, lx.RULE_SCHEMA)
+    whole = sorted(map(str, pm.evaluate_rules(d, rules).collect()))
+    monkeypatch.setattr(pm, "row_blocks", lambda df, key, _n: sizing.row_blocks(df, key, 1))
+    assert sorted(map(str, pm.evaluate_rules(d, rules).collect())) == whole and len(whole) == 5

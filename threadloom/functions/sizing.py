@@ -37,3 +37,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def row_blocks(df: DataFrame, key: str, limit: int) -> list[list[Row]]:
+    """The rows of a rule or term table in blocks of about ``limit`` rows, for repeated inlining."""
+    rows = rows_within(df, limit)
+    if rows is not None:
+        return [rows]
+    n = df.count() // limit * 2 + 2
+    block = F.pmod(F.xxhash64(key), F.lit(n))
+    return [df.where(block == i).collect() for i in range(n)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom import lexicons as lx
 from threadloom.functions import textfn as tx
+from threadloom.functions.sizing import inline_rows, row_blocks
 
 
 def severity_value(avg_weight: Column, n: Column) -> Column:
@@ -320,19 +321,15 @@ def behavior_scores(
 ) -> DataFrame:
     """User-defined behaviours: weights of the present terms summed and bucketed by threshold.
 
-    ``terms`` holds ``behavior, term, weight`` and is small (checked).
+    ``terms`` holds ``behavior, term, weight``; it is inlined in blocks of five thousand.
     """
-    from threadloom.functions.sizing import inline_rows, rows_within
-
-    rows = rows_within(terms, 5_000)
-    if rows is None:
-        raise ValueError("more than 5000 weighted terms; score them in several calls")
-    inline = inline_rows(rows, "behavior string, term string, weight double")
     low_text = F.lower(text_col)
-    hits = docs.select(
-        id_col,
-        F.explode(F.filter(inline, lambda t: F.contains(low_text, F.lower(t["term"])))).alias("t"),
-    )
+    hits = None
+    for rows in row_blocks(terms, "term", 5_000):
+        inline = inline_rows(rows, "behavior string, term string, weight double")
+        present = F.filter(inline, lambda t: F.contains(low_text, F.lower(t["term"])))
+        part = docs.select(id_col, F.explode(present).alias("t"))
+        hits = part if hits is None else hits.unionByName(part)
     score = F.sum("t.weight")
     return hits.groupBy(id_col, F.col("t.behavior").alias("behavior")).agg(
         F.count("*").alias("n_terms"), score.alias("score"),

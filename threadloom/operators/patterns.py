@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from threadloom import lexicons as lx
 from threadloom.functions import spans as sp
 from threadloom.functions import ordered
-from threadloom.functions.sizing import INLINE_ROWS, broadcast_if_small, inline_rows, rows_within
+from threadloom.functions.sizing import INLINE_ROWS, broadcast_if_small, inline_rows, row_blocks, rows_within
 
 MATCH_CONFIDENCE = 80
 
@@ -308,11 +308,16 @@ def evaluate_rules(
 ) -> DataFrame:
     """Matches of every enabled regex, keyword, path and structural rule, with its action.
 
-    A rule table is small by nature; its size is checked before it is turned into expressions.
+    Rules are inlined in blocks of a thousand, one pass over the texts per block.
     """
-    rows = rows_within(rules.where("enabled"), 1_000)
-    if rows is None:
-        raise ValueError("more than 1000 enabled rules; split the rule table into several calls")
+    out = None
+    for rows in row_blocks(rules.where("enabled"), "rule_id", 1_000):
+        part = _evaluate_block(docs, rows, id_col, text_col)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _evaluate_block(docs: DataFrame, rows: Sequence[Row], id_col: str, text_col: str) -> DataFrame:
     compiled = []
     for r in rows:
         base = dict(
@@ -332,7 +337,8 @@ def evaluate_rules(
             ]
     if not compiled:
         empty = "ruleset_id string, rule_id string, type string, priority int, action string, confidence double, start int, end int, matched_text string"
-        return docs.sparkSession.createDataFrame([], f"{id_col} bigint, {empty}")
+        kind = dict(docs.dtypes)[id_col]
+        return docs.sparkSession.createDataFrame([], f"{id_col} {kind}, {empty}")
     out = regex_matches(docs, compiled, id_col, text_col)
     text = F.when(F.col("cut") > 0, F.substring("matched_text", 1, 100)).otherwise(F.col("matched_text"))
     return out.withColumn("matched_text", text).select(
