@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import byte_bpe, token_files
+from threadloom.llm import byte_bpe, fertility, mixing, shard_tree, token_files
 from threadloom.session import read_table, scratch_path
 
 VOCABULARY_FILE = public_tokenizers.path("byte_bpe_50k.json")
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+PIECE_MODEL = Path(public_tokenizers.path("piece_bpe_32k.model"))
+SHARDS = 40
 
 
 def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,6 +27,23 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_shard_tree(spark: SparkSession, folder: str) -> DataFrame:
+    tree = shard_tree.regular_tree(SHARDS)
+    out = shard_tree.assign(read_table(spark, folder, "documents"), tree, shard_tree.with_region(tree, SHARDS))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op5_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    docs = fertility.rate(read_table(spark, folder, "documents").select("doc_id", "text", "lang"), PIECE_MODEL.read_bytes())
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return docs.select("doc_id", *[F.col(f"measure.{c}") for c in base], "base_failed", "kept")
+
+
+def op6_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
+    docs = mixing.mix(read_table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return docs.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = byte_bpe.vocabulary_from_ranks(RANK_FILE, PATTERN)
     docs = byte_bpe.encode(read_table(spark, folder, "documents").select("doc_id", "text"), vocabulary, PATTERN)
@@ -33,5 +54,5 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op7_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_shard_tree, op5_fertility, op6_pareto_mix, op7_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
