@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import byte_bpe, fertility, mixing, shard_tree, token_files
+from threadloom.llm import byte_bpe, fertility, lsh_forest, mixing, shard_tree, token_files
 from threadloom.session import read_table, scratch_path
 
 VOCABULARY_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,10 @@ def op3_shard_tree(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return lsh_forest.group(read_table(spark, folder, "documents"), width=3, percent=85).drop("text_hash")
+
+
 def op5_fertility(spark: SparkSession, folder: str) -> DataFrame:
     docs = fertility.rate(read_table(spark, folder, "documents").select("doc_id", "text", "lang"), PIECE_MODEL.read_bytes())
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -54,5 +58,5 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_shard_tree, op5_fertility, op6_pareto_mix, op7_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_shard_tree, op4_lsh_forest, op5_fertility, op6_pareto_mix, op7_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
