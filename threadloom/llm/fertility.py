@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.words import between_spaces, blocks, gathered
+
 #: Words a worker remembers (about 60 MB at most), and the longest of them.
-CACHE_ENTRIES, CACHED_BYTES = 400_000, 64
+CACHE_ENTRIES, CACHED_CHARS = 400_000, 64
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 MEASURES = (
@@ -63,36 +65,36 @@ class Meter:
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.fallback = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.words: dict[bytes, bytes] = {}
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        coded = self.model.encode([w.decode() for w in words], num_threads=1)
-        return [np.array(ids, "<i4").tobytes() for ids in coded]
+        self.words: dict[str, bytes] = {}
 
-    def measure(self, texts: list[str | None]) -> list[tuple]:
-        raw = [(t or "").encode() for t in texts]
-        cut = [b.split() for b in raw]  # bytes split at blank, tab, line feed, vertical tab, form feed, return alone
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Token ids of each word; words not met before go to the model together."""
         if len(self.words) > CACHE_ENTRIES:
             self.words = {}
-        number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in cut for w in ws))}
-        new, long = [w for w in number if w not in self.words], {}
-        for i in range(0, len(new), 20_000):
-            block = new[i : i + 20_000]
-            for w, ids in zip(block, self._ids(block)):
-                (self.words if len(w) <= CACHED_BYTES else long)[w] = ids
-        known = {**self.words, **long} if long else self.words
-        return [self._one(t or "", b, ws, known, number) for t, b, ws in zip(texts, raw, cut)]
-
-    def _one(self, text: str, raw: bytes, words: list[bytes], known: dict, number: dict) -> tuple:
+        new = [w for w in words if w not in self.words]
+        coded = dict(zip(new, (np.array(ids, "<i4").tobytes() for ids in self.model.encode(new, num_threads=1))))
+        found = [coded[w] if w in coded else self.words[w] for w in words]
+        self.words.update((w, ids) for w, ids in coded.items() if len(w) <= CACHED_CHARS)
+        return found
+
+    def measure(self, texts: pa.Array) -> list[tuple]:
+        words = between_spaces(texts)
+        ids, bounds = gathered(self._ids(words.distinct), words.index)
+        bounds = bounds[words.offsets]
+        return [
+            self._one(t or "", codes, ids[a:b])
+            for t, codes, a, b in zip(texts.to_pylist(), words.rows(), bounds[:-1].tolist(), bounds[1:].tolist())
+        ]
+
+    def _one(self, text: str, codes: np.ndarray, ids: np.ndarray) -> tuple:
+        raw = text.encode()
         chars = len(text) - (len(raw) - len(raw.translate(None, _SPACE)))
         symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
         lines = [x for x in raw.split(b"\n") if x.strip(_SPACE)]
-        repeated = repeated_words(np.fromiter((number[w] for w in words), np.int64, len(words)))
-        ids = np.frombuffer(b"".join([known[w] for w in words]), "<i4")
         counts = np.unique(ids, return_counts=True)[1]
         share = counts / max(len(ids), 1)
         return (
-            len(words), chars, symbols, len(lines) - len(set(lines)), repeated, len(ids), chars / len(ids) if len(ids) else 0.0,
+            len(codes), chars, symbols, len(lines) - len(set(lines)), repeated_words(codes), len(ids), chars / len(ids) if len(ids) else 0.0,
             float(self.fallback[ids].mean()) if len(ids) else 0.0, float(-(share * np.log2(share)).sum()) + 0.0, script(text),
         )
 
@@ -135,17 +137,16 @@ def measure_column(text: Column | str, model: bytes) -> Column:
 
     @F.arrow_udf(f"struct<{MEASURES}>")
     def measure(texts: pa.Array) -> pa.Array:
-        from threadloom.llm.byte_bpe import _blocks, _text_lengths
-
         out, meter = [], _meter(model)
-        for a, b in _blocks(_text_lengths(texts), 1_000_000):
-            out += meter.measure(texts.slice(a, b - a).to_pylist())
+        for block in blocks(texts, 8_000_000):
+            out += meter.measure(block)
         names = [f.split(":")[0] for f in MEASURES.split(",")]
         kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.string()]
         columns = [pa.array([row[k] for row in out], kind) for k, kind in enumerate(kinds)]
         return pa.StructArray.from_arrays(columns, names)
 
-    return measure(text)
+    # not deterministic only in name: Spark then runs it once, not again for every later use of the column
+    return measure.asNondeterministic()(text)
 
 
 def in_band(measure: Column, lang: Column, bands: dict[str, Band]) -> Column:

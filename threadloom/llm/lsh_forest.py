@@ -22,18 +22,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.byte_bpe import _blocks, _text_lengths
 from threadloom.llm.components import components
+from threadloom.llm.words import between_spaces, blocks
 from threadloom.session import cut_lineage
 
 TREES, TREE_BYTES, LEAST_DEPTH, NEIGHBOURS, SLACK = 12, 8, 4, 4, 0.2
 #: A comparison holds at most twice this many documents and shingles (beyond one long document).
 BLOCK_DOCUMENTS, BLOCK_SHINGLES = 1_500, 1_500_000
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -42,14 +42,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
 
 
-def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """The distinct shingles of each text as sorted 64-bit hashes."""
-    cut = [(t or "").encode().translate(_LOWER).split() for t in texts]
-    number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in cut for w in ws))}
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+    words = between_spaces(pc.ascii_lower(pc.fill_null(texts, "")))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words.distinct), np.uint64, len(words.distinct))[words.index]
     out = []
-    for words in cut:
-        h = hashes[np.fromiter((number[w] for w in words), np.int64, len(words))]
+    for a, b in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist()):
+        h = hashes[a:b]
         if not len(h):
             out.append(h)
             continue
@@ -77,14 +76,15 @@ def sets_column(text: Column | str, width: int, size: int) -> Column:
     @F.arrow_udf("struct<n:bigint,key:binary,sig:binary>")
     def describe(texts: pa.Array) -> pa.Array:
         n, keys, sigs = [], [], []
-        for a, b in _blocks(_text_lengths(texts), 1_000_000):
-            for s in shingle_sets(texts.slice(a, b - a).to_pylist(), width):
+        for block in blocks(texts, 4_000_000):
+            for s in shingle_sets(block, width):
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sigs.append(signature(s, size) if len(s) else None)
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["n", "key", "sig"])
 
-    return describe(text)
+    # not deterministic only in name: Spark then runs it once, not again for every field
+    return describe.asNondeterministic()(text)
 
 
 def shingles_column(text: Column | str, width: int) -> Column:
@@ -93,8 +93,8 @@ def shingles_column(text: Column | str, width: int) -> Column:
     @F.arrow_udf("binary")
     def shingles(texts: pa.Array) -> pa.Array:
         out = []
-        for a, b in _blocks(_text_lengths(texts), 1_000_000):
-            out += [s.tobytes() for s in shingle_sets(texts.slice(a, b - a).to_pylist(), width)]
+        for block in blocks(texts, 4_000_000):
+            out += [s.tobytes() for s in shingle_sets(block, width)]
         return pa.array(out, pa.binary())
 
     return shingles(text)
