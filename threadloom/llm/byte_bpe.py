@@ -1,9 +1,8 @@
 """Byte-level BPE over Arrow batches with the tokenizers library.
 
-A text is cut into the matches of the pre-tokenizer's pattern and every match is merged on its own. Natural text
-repeats its words, so a worker keeps the ids of the chunks it has met (at most ``CACHE_ENTRIES``, then it starts
-anew) and hands only new pieces to the library, many per call. Nothing is shuffled; a row needs its text, its ids and
-the cache.
+A text is cut into the matches of the pre-tokenizer's pattern; each is mapped to the characters of its bytes and
+merged on its own. Natural text repeats its words, so a worker remembers the ids of words it has met and hands only
+new ones to the library. Nothing is shuffled; a row needs its text, its ids and the cache.
 
 Null texts count as empty and give no ids. Null ids decode to an empty value. An id outside the vocabulary raises.
 Repeated rows give repeated results; empty tables give empty tables. An output column replaces an input column of the
@@ -13,24 +12,23 @@ same name; all other columns pass through.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import json
-import re
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks a worker remembers; about 100 MB at most.
-CACHE_ENTRIES = 400_000
-#: Longer chunks (no blank inside) are encoded each time they occur.
-CACHED_CHARS = 64
-_BLANK_AFTER_SPACE = re.compile(r"\s ")
+from threadloom.llm.words import at_blanks, blocks, gathered
+
+#: Words of each of two generations that a worker remembers (about 80 MB each), and the length of the longest of them.
+CACHE_ENTRIES, CACHED_CHARS = 300_000, 64
+_MARKS = (".", ",", ";", ":", "!", "?")
 
 
 # ---------------------------------------------------------------- the byte table
@@ -106,55 +104,78 @@ def _merged(token: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]:
 
 # ---------------------------------------------------------------- inside a task
 class Encoder:
-    """Encodes whole texts to little-endian 32-bit ids; remembers chunks."""
+    """Encodes whole texts to little-endian 32-bit ids; remembers the words that stand behind a blank.
+
+    The library's model merges one match at a time, given as the characters of its bytes. Words are remembered in two
+    generations: when the newer one is full it becomes the older one, and words still met move up again.
+    """
 
     def __init__(self, vocabulary: str, pattern: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        # pieces arrive cut, so the library only maps bytes to characters and merges
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
         self.find = regex.compile(pattern).findall
-        self.chunks: dict[str, bytes] = {}
+        self.character = dict(enumerate(byte_characters()))
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.bytes_of = [token_bytes(t) for t, _ in sorted(json.loads(vocabulary)["model"]["vocab"].items(), key=lambda x: x[1])]
 
-    def _merge(self, chunks: list[str]) -> list[bytes]:
-        cut = [self.find(c) for c in chunks]
-        pieces = list(dict.fromkeys(p for ps in cut for p in ps))
-        coded = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids = np.asarray(coded.ids, "<u4")
-        word = np.asarray(coded.word_ids, np.int64)
-        ends = np.searchsorted(word, np.arange(len(pieces)), "right") * 4
-        raw, of, start = ids.tobytes(), {}, 0
-        for piece, end in zip(pieces, ends.tolist()):
-            of[piece] = raw[start:end]
-            start = end
-        return [b"".join([of[p] for p in ps]) for ps in cut]
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text. A match never crosses a single blank that follows something not blank."""
-        cut = []
-        for t in texts:
-            if not t:
-                cut.append(())
-            elif _BLANK_AFTER_SPACE.search(t):
-                cut.append(self.find(t))
+    def _match(self, match: str) -> bytes:
+        """Ids of one match of the pattern."""
+        mapped = match.encode().decode("latin-1").translate(self.character)
+        return b"".join([self.id_bytes[t.id] for t in self.merge(mapped)])
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a blank and a word."""
+        if word.isalpha():
+            # ASCII letters stand for themselves, the blank for the next free character
+            return b"".join([self.id_bytes[t.id] for t in self.merge("Ġ" + word)]) if word.isascii() else self._match(" " + word)
+        if word[-1:] in _MARKS and word[:-1].isalpha():
+            return self._known(word[:-1]) + self._match(word[-1])
+        return b"".join([self._match(m) for m in self.find(" " + word)])
+
+    def _known(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+            if ids is None:
+                ids = self._word(word)
+            if len(word) <= CACHED_CHARS:
+                if len(self.words) >= CACHE_ENTRIES:
+                    self.older, self.words = self.words, {}
+                self.words[word] = ids
+        return ids
+
+    def _text(self, text: str) -> bytes:
+        """Ids of a text with more than single blanks between its words."""
+        return b"".join([self._known(m[1:]) if m[0] == " " and m[1:].isalpha() else self._match(m) for m in self.find(text)])
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text of a column.
+
+        A match never crosses a blank that follows something not blank. Texts in which no blank follows white space
+        are therefore cut at their blanks; the first word of a text has none before it.
+        """
+        words = at_blanks(texts)
+        rows = len(texts)
+        odd = np.array([not w or w[-1].isspace() for w in words.distinct], bool)[words.index]
+        whole = np.logical_or.reduceat(odd, words.offsets[:-1])
+        index = words.index.copy()
+        index[words.offsets[:-1]] = len(words.distinct) + np.arange(rows)
+        firsts = []
+        for i, (text, at) in enumerate(zip(texts.to_pylist(), words.index[words.offsets[:-1]].tolist())):
+            if whole[i]:
+                index[words.offsets[i] : words.offsets[i + 1]] = len(words.distinct) + rows  # stands for nothing
+                index[words.offsets[i]] = len(words.distinct) + i
+                firsts.append(self._text(text) if text else b"")
             else:
-                first, *rest = t.split(" ")
-                cut.append([*([first] if first else ()), *[" " + w for w in rest]])
-        if len(self.chunks) > CACHE_ENTRIES:
-            self.chunks = {}
-        known = self.chunks
-        new = [c for c in dict.fromkeys(c for cs in cut for c in cs) if c not in known]
-        extra = {}
-        for i in range(0, len(new), 20_000):
-            block = new[i : i + 20_000]
-            for c, ids in zip(block, self._merge(block)):
-                (known if len(c) <= CACHED_CHARS else extra)[c] = ids
-        if extra:
-            return [b"".join([extra[c] if c in extra else known[c] for c in cs]) for cs in cut]
-        return [b"".join([known[c] for c in cs]) for cs in cut]
+                firsts.append(b"".join([self._match(m) for m in self.find(words.distinct[at])]))
+        get, known = self.words.get, self._known
+        parts = [get(w) or known(w) for w in words.distinct]
+        ids, bounds = gathered([*parts, *firsts, b""], index)
+        return pa.ListArray.from_arrays(pa.array(bounds[words.offsets], pa.int32()), pa.array(ids.view("<i4"), pa.int32()))
 
 
 @lru_cache(2)
@@ -162,25 +183,10 @@ def encoder(vocabulary: str, pattern: str) -> Encoder:
     return Encoder(vocabulary, pattern)
 
 
-def _blocks(lengths: np.ndarray, most: int = 4_000_000) -> list[tuple[int, int]]:
-    """Runs of rows of about ``most`` bytes, so that working memory does not follow the batch size."""
-    out, start, size = [], 0, 0
-    for i, n in enumerate(lengths.tolist()):
-        if size and size + n > most:
-            out.append((start, i))
-            start, size = i, 0
-        size += n
-    return [*out, (start, len(lengths))] if len(lengths) else out
-
-
-def _text_lengths(texts: pa.Array) -> np.ndarray:
-    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-
-
-def _lists(values: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *(len(v) // 4 for v in values)])
-    flat = np.frombuffer(b"".join(values), "<i4")
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+def _ended(ids: pa.Array, end_id: int) -> pa.Array:
+    offsets = ids.offsets.to_numpy()
+    flat = np.insert(ids.values.to_numpy(), offsets[1:], end_id)
+    return pa.ListArray.from_arrays(pa.array(offsets + np.arange(len(offsets)), pa.int32()), pa.array(flat, pa.int32()))
 
 
 def id_rows(ids: pa.Array):
@@ -195,16 +201,19 @@ def id_rows(ids: pa.Array):
 # ---------------------------------------------------------------- columns and tables
 def encode_column(text: Column | str, vocabulary: str, pattern: str, end_id: int | None = None) -> Column:
     """array<int>: the ids of a text, with ``end_id`` behind them where given."""
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        enc, out = encoder(vocabulary, pattern), []
-        for a, b in _blocks(_text_lengths(texts)):
-            out += [ids + end for ids in enc.encode_batch(texts.slice(a, b - a).to_pylist())]
-        return _lists(out)
-
-    return encode(text)
+        enc = encoder(vocabulary, pattern)
+        gc.disable()  # large lists of strings and no cycles: collections would only walk over them again and again
+        try:
+            out = [enc.encode(block) for block in blocks(texts, 8_000_000)] or [pa.array([], pa.list_(pa.int32()))]
+        finally:
+            gc.enable()
+        return pa.concat_arrays(out if end_id is None else [_ended(ids, end_id) for ids in out])
+
+    # not deterministic only in name: Spark then runs it once, not again for every later use of the column
+    return encode.asNondeterministic()(text)
 
 
 def decode_column(ids: Column | str, vocabulary: str, pattern: str) -> Column:
