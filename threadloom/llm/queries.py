@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import byte_bpe, fertility, lsh_forest, mixing, shard_tree, token_files
+from threadloom.llm import byte_bpe, fertility, lsh_forest, mixing, shard_tree, string_kernel, suffix_dedup, token_files
 from threadloom.session import read_table, scratch_path
 
 VOCABULARY_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,5 +58,17 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_shard_tree, op4_lsh_forest, op5_fertility, op6_pareto_mix, op7_byte_bpe)}
+def op9_string_kernel(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    model = string_kernel.fit(docs, read_table(spark, folder, "labels"))
+    out = string_kernel.score(docs, model)
+    return out.select("doc_id", string_kernel.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(read_table(spark, folder, "documents"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_shard_tree, op4_lsh_forest, op5_fertility, op6_pareto_mix, op7_byte_bpe, op9_string_kernel, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
