@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import byte_bpe, fertility, lsh_forest, mixing, shard_tree, string_kernel, suffix_dedup, token_files
+from threadloom.llm import byte_bpe, fertility, lsh_forest, mixing, pivot_index, shard_tree, string_kernel, suffix_dedup, token_files
 from threadloom.session import read_table, scratch_path
 
 VOCABULARY_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,11 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_pivot_index(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "embeddings").select("vec_id", pivot_index.floor_scaled(F.col("embedding")).alias("vector"))
+    return pivot_index.search(rows, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_shard_tree(spark: SparkSession, folder: str) -> DataFrame:
     tree = shard_tree.regular_tree(SHARDS)
     out = shard_tree.assign(read_table(spark, folder, "documents"), tree, shard_tree.with_region(tree, SHARDS))
@@ -70,5 +75,5 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_shard_tree, op4_lsh_forest, op5_fertility, op6_pareto_mix, op7_byte_bpe, op9_string_kernel, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_pivot_index, op3_shard_tree, op4_lsh_forest, op5_fertility, op6_pareto_mix, op7_byte_bpe, op9_string_kernel, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
