@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import byte_bpe, fertility, lsh_forest, mixing, pivot_index, shard_tree, string_kernel, suffix_dedup, token_files
+from threadloom.llm import byte_bpe, fertility, lsh_forest, mixing, pivot_index, private_data, shard_tree, string_kernel, suffix_dedup, token_files
 from threadloom.session import read_table, scratch_path
 
 VOCABULARY_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,6 +63,16 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    found = private_data.find(docs, private_data.fit(docs))
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == private_data.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[n(k) for k in ("email", "ip", "card", "phone")], F.sha2(private_data.written(F.col("base")), 256).alias("base_sha256"),
+        private_data.written(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_string_kernel(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     model = string_kernel.fit(docs, read_table(spark, folder, "labels"))
@@ -75,5 +85,5 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_pivot_index, op3_shard_tree, op4_lsh_forest, op5_fertility, op6_pareto_mix, op7_byte_bpe, op9_string_kernel, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_pivot_index, op3_shard_tree, op4_lsh_forest, op5_fertility, op6_pareto_mix, op7_byte_bpe, op8_private_data, op9_string_kernel, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
