@@ -260,7 +260,10 @@ def strict_links(members: DataFrame, percent: int) -> DataFrame:
 
 
 def group(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, kept) of every row; kept: the row with the component's least id."""
+    """(doc_id, text_hash, n_shingles, component_id, kept, component) of every row; kept: rows with the component's least id.
+
+    ``component`` names the component by a set of its own; null for documents without words.
+    """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
     known = base.select("doc_id", F.xxhash64("__text").alias("text_hash"), sets_column("__text", width, TREES * TREE_BYTES).alias("s"))
     known = cut_lineage(known.select("doc_id", "text_hash", "s.*"))
@@ -277,8 +280,25 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc
     roots = components(cut_lineage(strict_links(cut_lineage(members), percent)))
     named = classes.select("key", "least_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = named.join(names, "root").select("key", "component_id")
+    named = named.join(names, "root").select("key", "component_id", F.col("root").alias("component"))
     out = known.join(named, "key", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+        "component",
     )
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, the one with the least id, and every row without words; all columns."""
+    groups = cut_lineage(group(docs, width, percent, doc_id, text))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("row")
+    winners = groups.where("component is not null").groupBy("component").agg(first).select("row.doc_id", "row.text_hash")
+    stay = winners.union(groups.where("component is null").select("doc_id", "text_hash")).distinct()
+    stay = stay.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    keyed = docs.withColumn("__h", F.xxhash64(text))
+    out = keyed.join(stay, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left_semi")
+    again = groups.where("component is not null").groupBy("doc_id", "text_hash").count().where("count > 1")
+    if again.limit(1).count():  # the same row several times
+        words = out.where(F.rlike(text, F.lit(r"[^\x20\x09-\x0D]"))).dropDuplicates([doc_id, "__h"])
+        out = words.union(out.where(~F.coalesce(F.rlike(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))))
+    return out.drop("__h")

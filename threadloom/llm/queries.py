@@ -39,7 +39,7 @@ def op3_shard_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
-    return lsh_forest.group(read_table(spark, folder, "documents"), width=3, percent=85).drop("text_hash")
+    return lsh_forest.group(read_table(spark, folder, "documents"), width=3, percent=85).drop("text_hash", "component")
 
 
 def op5_fertility(spark: SparkSession, folder: str) -> DataFrame:
