@@ -1,18 +1,62 @@
-"""The corpus pipeline: each stage is written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: quality rules, near-duplicates, personal data, source mix, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; what it returns is written as
+Parquet and read again as the next one's documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from threadloom.llm import byte_bpe, fertility, lsh_forest, mixing, private_data
+from threadloom.llm.queries import PATTERN, PIECE_MODEL, RANK_FILE
 from threadloom.session import read_table, scratch_path
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within the base rules and the fertility band of their language stay."""
+    return fertility.rate(docs, PIECE_MODEL.read_bytes()).where("kept").select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five-word shingles, similarity 0.8)."""
+    return lsh_forest.deduplicated(docs, width=5, percent=80).select(COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by the name of their kind."""
+    found = private_data.find(docs, private_data.fit(docs))
+    text = private_data.redacted(F.col("text"), F.col("spans"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    mixed = mixing.mix(docs).where("copies > 0")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text."""
+    vocabulary = byte_bpe.vocabulary_from_ranks(RANK_FILE, PATTERN)
+    coded = byte_bpe.decode(byte_bpe.encode(docs, vocabulary, PATTERN), vocabulary, PATTERN)
+    same = F.col("decoded") == F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("personal_data", personal_data),
+    ("source_mix", source_mix), ("tokens", tokens),
+]
 
-#: Model and tokenizer verdicts are beyond SQL; tests/llm holds the stages against brute force.
+#: Verdicts of tokenizers and of models trained on the corpus are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
