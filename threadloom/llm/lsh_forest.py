@@ -182,10 +182,10 @@ def loose_links(classes: DataFrame, threshold: float, trees: int = TREES, slack:
 
     def across(batches):
         # a few rows of each partition, in order: the neighbours that the partitions could not see
-        rows = pa.Table.from_batches(list(batches)).to_pandas() if batches else None
-        if rows is None or rows.empty:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
-        rows = rows.sort_values(["part", "row"])
+        rows = pa.Table.from_batches(got).to_pandas().sort_values(["part", "row"])
         sigs = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
         tree = rows["tree"].to_numpy()
         ordered = np.stack([s[t * TREE_BYTES : (t + 1) * TREE_BYTES] for s, t in zip(sigs, tree)])
