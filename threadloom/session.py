@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,16 +26,13 @@ def get_spark(app: str = "threadloom", master: str | None = None, **conf: str) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir`` when the cluster names one.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or the session's checkpoint directory.
 
-    Only where the setting is absent (local tests) a folder of this machine is used.
+    There is no fallback to a folder of this machine, which other executors would not see.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
-        folder = tempfile.mkdtemp(prefix="spark-threadloom-")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
