@@ -10,7 +10,9 @@ suffixes drop out as soon as they are unique:
 1. rank by the first ``length - window`` bytes from the minimum, which every string of it covers;
 2. rank pair with the run: all strings that belong to the minimum, from the first start to the last end. A run that
    occurs twice is removed whole;
-3. the few runs that are unique while their rank is not (ends of repeats) are ranked string by string.
+3. runs that are unique while their rank is not (ends of repeats) are cut into cells of ``CELL`` starts, counted from
+   the minimum. If all bytes of a cell's strings repeat together, the cell goes whole; if the part that all of them
+   share is unique, so are they; only the cells between are ranked string by string.
 
 Ranks are fingerprints; a decision rests on a pair of them, over 100 bits. Ranks are counted by partial aggregation and
 looked up by joins that adaptive execution can split, so a passage that a third of all documents hold is no single
@@ -31,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.words import blocks
-from threadloom.session import cut_lineage, scratch_path
+from threadloom.session import scratch_path
 
-GRAM = 16
+GRAM, CELL = 16, 14
 _POSITION_BITS = 30
 _PIECE = 4_000_000
 _U = np.uint64
@@ -154,6 +156,40 @@ def _suffixes(length: int):
     return suffixes
 
 
+def _cells(length: int):
+    """Cells of open runs: (doc_id, version, place, cell, core, hull); a cell that leaves its text has a hull of its own."""
+    window = window_of(length)
+
+    def cells(batches):
+        for batch in batches:
+            columns = [[], [], [], [], [], []]
+            for doc_id, version, text, places in zip(*(batch[c].to_pylist() for c in ("doc_id", "version", "text", "open"))):
+                places = np.array(places, np.int64)
+                if not len(places):
+                    continue
+                prints = _Prints(np.frombuffer(text.encode(), np.uint8))
+                size = len(prints.sums) - 1
+                least, back, near = places >> 24, places >> 12 & 4095, places & 4095
+                many = back // CELL - near // CELL + 1
+                of = np.repeat(np.arange(len(places)), many)
+                cell = (near // CELL)[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+                low, high = cell * CELL, np.minimum(cell * CELL + CELL, window) - 1
+                m = least[of]
+                rank = prints(m, m + length - window)
+                inside = (m - high >= 0) & (m - low + length <= size)
+                hull = prints(np.where(inside, m - high, 0), np.where(inside, m - low + length, 0))
+                own = np.maximum(near[of], low), np.minimum(back[of], high)
+                place = m << 24 | own[1] << 12 | own[0]
+                hull = np.where(inside, hull, _mix(place.astype(np.uint64) + _U(version % 2**64)))
+                name = _mix(rank + _U(0x9E3779B97F4A7C15) * cell.astype(np.uint64))
+                n = len(of)
+                for column, values in zip(columns, ([doc_id] * n, [version] * n, place, name.view(np.int64), prints(m - low, m - high + length).view(np.int64), hull.view(np.int64))):
+                    column.extend(values if isinstance(values, list) else values.tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "version", "place", "cell", "core", "hull"])
+
+    return cells
+
+
 def _strings(length: int):
     """Single strings of the runs that are open: (doc_id, version, start, rank of the string within its suffix rank)."""
 
@@ -221,43 +257,63 @@ def _with_version(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; ``kept`` holds the remaining bytes."""
-    if length < GRAM + 1 or window_of(length) > 4096:
-        raise ValueError(f"length must lie between {GRAM + 1} and 4127 bytes")
+    if length < GRAM + CELL or window_of(length) > 4096:
+        raise ValueError(f"length must lie between {GRAM + CELL} and 4127 bytes")
     base = _with_version(docs, doc_id, text)
-    long = base.where(F.octet_length("text") >= length)
-    repeated = long.select("text").mapInArrow(_ranks(length), "rank bigint").groupBy("rank").count().where("count > 1").select("rank")
-    suffixes = long.mapInArrow(_suffixes(length), "doc_id bigint, version bigint, place bigint, rank bigint, run bigint")
-    suffixes = cut_lineage(suffixes.join(repeated, "rank", "left_semi"))
-    runs = cut_lineage(suffixes.groupBy("rank", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "place")).alias("first")))
-    # a rank is open when one of its runs is unique; then one copy of each of its runs is looked at string by string
-    ranks = runs.groupBy("rank").agg((F.min("n") == 1).alias("open"))
-    whole = suffixes.join(runs.where("n > 1").select("rank", "run"), ["rank", "run"], "left_semi").select("doc_id", "version", "place", F.lit(True).alias("is_whole"))
-    opened = runs.join(ranks.where("open"), "rank").select("first.*", F.lit(False).alias("is_whole"))
-    places = whole.union(opened).groupBy("doc_id", "version").agg(
-        F.collect_set(F.when(F.col("is_whole"), F.col("place"))).alias("whole"), F.collect_set(F.when(~F.col("is_whole"), F.col("place"))).alias("open"),
-    )
-    joined = base.join(places.withColumnsRenamed({"doc_id": "__id", "version": "__v"}), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__v")), "left")
-    joined = joined.drop("__id", "__v")
-    stored = _stored(joined)
-    touched = stored.where("whole is not null")
-    strings = touched.select("doc_id", "version", "text", "open").mapInArrow(
+    suffixes = _stored(_repeated_suffixes(base.where(F.octet_length("text") >= length), length))
+    whole, opened = _by_run(suffixes)
+    touched = _stored(_with_places(base, opened, {"place": "open"}, "inner"))
+    cells = _stored(touched.mapInArrow(_cells(length), "doc_id bigint, version bigint, place bigint, cell bigint, core bigint, hull bigint"))
+    more, mixed = _by_cell(cells)
+    strings = _with_places(touched.drop("open"), mixed, {"place": "open"}, "inner").mapInArrow(
         _strings(length), "doc_id bigint, version bigint, start bigint, rank bigint, string bigint"
     )
-    strings = cut_lineage(strings)
+    strings = _stored(strings)
     again = strings.groupBy("rank", "string").count().where("count > 1").select("rank", "string")
-    single = strings.join(again, ["rank", "string"], "left_semi").groupBy("doc_id", "version").agg(F.collect_set("start").alias("single"))
-    single = single.withColumnsRenamed({"doc_id": "__id", "version": "__v"})
-    ready = touched.join(single, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__v")), "left")
-    cut = ready.select("doc_id", "text", "whole", "single").mapInArrow(_cut(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
-    zero = F.lit(0).cast("long")
-    clean = stored.where("whole is null").select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.encode("text", "utf-8").alias("kept"),
-    )
-    return cut.union(clean)
+    single = strings.join(again, ["rank", "string"], "left_semi").select("doc_id", "version", F.col("start").alias("single"), F.lit(None).cast("long").alias("whole"))
+    gone = whole.union(more).select("doc_id", "version", F.lit(None).cast("long").alias("single"), F.col("place").alias("whole")).union(single)
+    ready = _with_places(base, _stored(gone), {"whole": "whole", "single": "single"}, "left")
+    return ready.mapInArrow(_cut(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+
+
+def _repeated_suffixes(long: DataFrame, length: int) -> DataFrame:
+    """Suffixes at minima whose first bytes occur twice."""
+    repeated = long.select("text").mapInArrow(_ranks(length), "rank bigint").groupBy("rank").count().where("count > 1").select("rank")
+    suffixes = long.mapInArrow(_suffixes(length), "doc_id bigint, version bigint, place bigint, rank bigint, run bigint")
+    return suffixes.join(repeated, "rank", "left_semi")
+
+
+def _by_run(suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places of runs that occur twice, and of one copy of every run of a rank that also has unique runs."""
+    runs = _stored(suffixes.groupBy("rank", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "place")).alias("first")))
+    ranks = runs.groupBy("rank").agg((F.min("n") == 1).alias("open")).where("open")
+    whole = suffixes.join(runs.where("n > 1").select("rank", "run"), ["rank", "run"], "left_semi")
+    return whole.select("doc_id", "version", "place"), runs.join(ranks, "rank", "left_semi").select("first.*")
+
+
+def _by_cell(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places of cells that repeat as a whole, and one copy of each cell whose core also stands in unique cells."""
+    hulls = _stored(cells.groupBy("cell", "core", "hull").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "place")).alias("first")))
+    cores = hulls.groupBy("cell", "core").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n > 1 and least = 1")
+    whole = cells.join(hulls.where("n > 1").select("cell", "core", "hull"), ["cell", "core", "hull"], "left_semi")
+    return whole.select("doc_id", "version", "place"), hulls.join(cores.select("cell", "core"), ["cell", "core"], "left_semi").select("first.*")
+
+
+def _with_places(docs: DataFrame, rows: DataFrame, lists: dict[str, str], how: str) -> DataFrame:
+    """Documents with the rows of each gathered into arrays, bounded by the document's own length."""
+    found = rows.groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__v")).agg(*[F.collect_set(c).alias(name) for c, name in lists.items()])
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__v")), how).drop("__id", "__v")
+
 
+def _stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, read again; shuffles of finished steps can then be dropped.
 
-def _stored(joined: DataFrame) -> DataFrame:
-    """The documents with their places as a table in the shared folder, so that texts are not shuffled again."""
-    path = scratch_path(joined.sparkSession, "suffix-documents")
-    joined.write.parquet(path)
-    return joined.sparkSession.read.parquet(path)
+    Spark's cleaner drops them when the driver collects garbage, by default every half hour; a step asks for it.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "suffix")
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return out
