@@ -3,6 +3,7 @@
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -28,9 +29,11 @@ def main() -> None:
     spark = get_spark(
         "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="20g",
         spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
-    spark.range(1000).selectExpr("sum(id)").collect()  # start-up is not part of the first query
+    # start-up and the first text query's code generation are not part of the figures
+    QUERIES["entity_matches"].run(spark, folder).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
         start = time.perf_counter()
