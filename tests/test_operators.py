@@ -374,7 +374,7 @@ def test_bm25_by_hand(spark):
 
 def test_schema_resolution(spark):
     df = spark.createDataFrame([("A", "B", "a@b.c", "+1 555 0100")], "first_name string, last_name string, email_address string, phone_number string")
-    exact = {m["source"]: m["target"] for m in mp.exact_matches(df.columns)}
+    exact = {m["source"]: m["target"] for m in mp.assign(mp.name_scores(df.columns), "exact", 1.0)}
     assert exact["phone_number"] == "address" and mp.resolve_schema(df)
     unknown = spark.createDataFrame([("2024-01-01", "x" * 60, "Ann Lee")] * 3, "q1 string, q2 string, q3 string")
     assert {m["source"]: m["target"] for m in mp.resolve_schema(unknown)} == {"q1": "date", "q2": "body", "q3": "contactName"}

@@ -91,80 +91,63 @@ def infer_schema(df: DataFrame) -> DataFrame:
     )
 
 
-def exact_matches(fields: Sequence[str]) -> list[dict]:
-    lower = {f.lower(): f for f in fields}
-    out = []
-    for target, aliases in lx.FIELD_ALIASES.items():
-        hit = next((lower[a.lower()] for a in aliases if a.lower() in lower), None)
-        if hit:
-            out.append(dict(source=hit, target=target, confidence=1.0, method="exact"))
-    return out
-
+def name_scores(fields: Sequence[str]) -> list[tuple[str, str, float]]:
+    """(field, target, score): 1 for a known alias, else the share of the longer name that the shorter one covers."""
+    def score(field: str, alias: str) -> float:
+        short, long = sorted((field.casefold(), alias.casefold()), key=len)
+        return len(short) / len(long) if long and short in long else 0.0
 
-def fuzzy_matches(fields: Sequence[str]) -> list[dict]:
-    """Best containing or contained alias per target; a source serves one target only."""
-    out, used = [], set()
-    for target, aliases in lx.FIELD_ALIASES.items():
-        pairs = [
-            (min(len(a), len(f)) / max(len(a), len(f)), f)
-            for f in fields if f not in used
-            for a in aliases if a.lower() in f.lower() or f.lower() in a.lower()
-        ]
-        score, field = max(pairs, key=lambda p: p[0], default=(0.0, None))
-        if score > 0.3:
-            out.append(dict(source=field, target=target, confidence=score, method="fuzzy"))
-            used.add(field)
-    return out
+    return [(f, target, max(score(f, a) for a in aliases)) for f in fields for target, aliases in lx.FIELD_ALIASES.items()]
 
 
-_SHAPES = {"date": ("date", 0.7), "phone": ("address", 0.7), "text": ("body", 0.7), "name": ("contactName", 0.6)}
+#: Shape of a value -> (pattern, target, confidence); a value has the first shape that fits.
+VALUE_SHAPES = {
+    "date": (r"^\d{4}-\d{2}-\d{2}|^\d{10,13}$", "date", 0.7),
+    "phone": (r"^[\+\d\(\)\-\s]{7,}$", "address", 0.7),
+    "text": (r"(?s)^.{51,}$", "body", 0.7),
+    "name": (r"^[A-Za-z\s]{3,49}$", "contactName", 0.6),
+}
 
 
-def content_matches(df: DataFrame, sample: int = 10) -> list[dict]:
-    """Targets suggested by the shape of the values in the first rows."""
+def content_scores(df: DataFrame) -> list[tuple[str, str, float]]:
+    """(field, target, score) from the most frequent shape of each column's values, one aggregation over all rows."""
     columns = [c for c, t in df.dtypes if t in ("string", "bigint", "int", "double")]
-    head = df.limit(sample)
-    value = F.col("v")
-    shape = (
-        F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}") | value.rlike(r"^\d{10,13}$"), "date")
-        .when(value.rlike(r"^[\+\d\(\)\-\s]{7,}$"), "phone")
-        .when(F.length(value) > 50, "text")
-        .when((F.length(value) > 2) & (F.length(value) < 50) & value.rlike(r"^[A-Za-z\s]+$"), "name")
-    )
-    cells = head.select(
-        F.explode(F.array(*[
-            F.struct(F.lit(i).alias("pos"), F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("v"))
-            for i, c in enumerate(columns)
-        ])).alias("c")
-    ).select("c.*")
-    counts = cells.select("pos", "field", shape.alias("shape")).where("shape is not null").groupBy(
-        "pos", "field", "shape"
-    ).agg(F.count("*").alias("n"))
-    # at most one row per column and shape
-    best: dict[int, tuple] = {}
-    for r in sorted(counts.collect(), key=lambda r: (r["pos"], -r["n"], list(_SHAPES).index(r["shape"]))):
-        best.setdefault(r["pos"], (r["field"], r["shape"]))
-    out, used = [], set()
-    for _pos, (field, kind) in sorted(best.items()):
-        target, confidence = _SHAPES[kind]
-        if target not in used:
-            out.append(dict(source=field, target=target, confidence=confidence, method="content"))
-            used.add(target)
+    if not columns:
+        return []
+
+    def shape(value: Column) -> Column:
+        return F.coalesce(*[F.when(value.rlike(pattern), F.lit(name)) for name, (pattern, _, _) in VALUE_SHAPES.items()])
+
+    counts = df.agg(*[
+        F.struct(*[F.count_if(shape(F.col(f"`{c}`").cast("string")) == name).alias(name) for name in VALUE_SHAPES]).alias(str(i))
+        for i, c in enumerate(columns)
+    ]).first()
+    out = []
+    for i, c in enumerate(columns):
+        name = max(VALUE_SHAPES, key=lambda n: counts[i][n])
+        if counts[i][name]:
+            out.append((c, VALUE_SHAPES[name][1], VALUE_SHAPES[name][2]))
+    return out
+
+
+def assign(scores: Sequence[tuple[str, str, float]], method: str, least: float, taken: Sequence[Mapping] = ()) -> list[dict]:
+    """Best scores first, every field and every target once, beside what is taken already."""
+    fields, targets, out = {m["source"] for m in taken}, {m["target"] for m in taken}, []
+    for field, target, score in sorted(scores, key=lambda s: -s[2]):
+        if score >= least and field not in fields and target not in targets:
+            fields.add(field)
+            targets.add(target)
+            out.append(dict(source=field, target=target, confidence=score, method=method))
     return out
 
 
-def resolve_schema(df: DataFrame) -> list[dict]:
-    """Field mapping: exact aliases when at least two hit, else fuzzy names, else value shapes."""
-    exact = exact_matches(df.columns)
-    if len(exact) >= 2:
-        return exact
-    fuzzy = fuzzy_matches(df.columns)
-    taken = {m["target"] for m in exact}
-    merged = exact + [m for m in fuzzy if m["target"] not in taken]
-    if len(merged) >= 2:
-        return merged
-    taken = {m["target"] for m in merged}
-    return merged + [m for m in content_matches(df) if m["target"] not in taken]
+def resolve_schema(df: DataFrame, enough: int = 2, least: float = 0.3) -> list[dict]:
+    """Field mapping: known aliases, and only while fewer than ``enough`` fit, like names and then value shapes."""
+    names, out = name_scores(df.columns), []
+    for method, scores, floor in (("exact", lambda: names, 1.0), ("fuzzy", lambda: names, least), ("content", lambda: content_scores(df), 0.0)):
+        if len(out) < enough:
+            out += assign(scores(), method, floor, out)
+    return out
 
 
 def mapping_table(spark, mappings: Sequence[Mapping]) -> DataFrame:
