@@ -38,26 +38,29 @@ def create_chains(files: DataFrame, evidence_id: str, name: str, content: str, t
     )
 
 
-def add_stage(chain: DataFrame, results: DataFrame, stage: str, ts: Column, operator: str = "system") -> DataFrame:
-    """Append a processing stage; its input hash is the last hash of the chain.
+def add_stages(base: DataFrame, stages: Sequence[tuple[str, DataFrame, Column]], operator: str = "system") -> DataFrame:
+    """Append processing stages (name, results, time) in order; ``results`` has ``evidence_id, hash``.
 
-    ``results`` has ``evidence_id, hash``.
+    A record's input hash is the hash before it, its number follows on, and mime type and size come from the first
+    record. All records are put together once and linked by one window per item, so the plan grows with the stages
+    and not with their square or more. Results of items without a first record are left out.
     """
-    last = chain.groupBy("evidence_id").agg(
-        F.max_by(F.struct("seq", F.col("hash").alias("h"), "mime_type", "size_bytes"), "seq").alias("l")
-    )
-    added = results.select("evidence_id", "hash").join(last, "evidence_id").select(
-        "evidence_id",
-        (F.col("l.seq") + 1).alias("seq"),
-        F.lit(stage).alias("stage"),
-        "hash",
-        F.col("l.h").alias("input_hash"),
-        ts.alias("ts"),
-        F.lit(operator).alias("operator"),
-        "l.mime_type",
-        "l.size_bytes",
-    )
-    return chain.unionByName(added)
+    columns = ["evidence_id", "seq", "stage", "hash", "input_hash", "ts", "operator", "mime_type", "size_bytes"]
+    rows = base.select(*columns, F.lit(0).alias("__stage"))
+    for number, (stage, results, ts) in enumerate(stages, 1):
+        rows = rows.unionByName(results.select(
+            "evidence_id", F.lit(None).cast("int").alias("seq"), F.lit(stage).alias("stage"), "hash",
+            F.lit(None).cast("string").alias("input_hash"), ts.alias("ts"), F.lit(operator).alias("operator"),
+            F.lit(None).cast("string").alias("mime_type"), F.lit(None).cast("long").alias("size_bytes"), F.lit(number).alias("__stage"),
+        ))
+    order = Window.partitionBy("evidence_id").orderBy("__stage", "seq")
+    first = lambda c: F.first(c, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    added = F.col("__stage") > 0
+    return rows.select(
+        "evidence_id", (F.row_number().over(order) - 1).alias("seq"), "stage", "hash",
+        F.when(added, F.lag("hash").over(order)).otherwise(F.col("input_hash")).alias("input_hash"),
+        "ts", "operator", first("mime_type").alias("mime_type"), first("size_bytes").alias("size_bytes"),
+    ).where("mime_type is not null")
 
 
 def chain_links(chain: DataFrame, block: int = 10_000) -> DataFrame:

@@ -23,30 +23,33 @@ def _(t):
     return cu.verify_hashes(t.documents, expected, "doc_id").select("doc_id", "valid")
 
 
-_CHAIN = """c0 as (select doc_id as evidence_id, 0 as seq, 'original' as stage, case when doc_id % 13 = 0 then md5(text) else sha256(text) end as hash, null as input_hash, 0 as t, sha256(text) as original_hash from documents where doc_id % 17 <> 0),
-c1 as (select doc_id as evidence_id, 1 as seq, 'parsed' as stage, sha256(lower(text)) as hash, case when doc_id % 11 = 0 then 'bad' when doc_id % 13 = 0 then md5(text) else sha256(text) end as input_hash, case when doc_id % 7 = 0 then -5 else 5 end as t, sha256(text) as original_hash from documents where doc_id % 17 <> 0),
-c2 as (select doc_id as evidence_id, 2 as seq, 'exported' as stage, sha256(text || '!') as hash, sha256(lower(text)) as input_hash, 10 as t, sha256(text) as original_hash from documents where doc_id % 17 <> 0 and doc_id % 2 = 0),
+_WHOLE_CHAIN = """c0 as (select doc_id as evidence_id, 0 as seq, 'original' as stage, case when doc_id % 13 = 0 then md5(text) else sha256(text) end as hash, null as input_hash, 0 as t, sha256(text) as original_hash from documents),
+c1 as (select doc_id as evidence_id, 1 as seq, 'parsed' as stage, sha256(lower(text)) as hash, case when doc_id % 11 = 0 then 'bad' when doc_id % 13 = 0 then md5(text) else sha256(text) end as input_hash, case when doc_id % 7 = 0 then -5 else 5 end as t, sha256(text) as original_hash from documents),
+c2 as (select doc_id as evidence_id, 2 as seq, 'exported' as stage, sha256(text || '!') as hash, sha256(lower(text)) as input_hash, 10 as t, sha256(text) as original_hash from documents where doc_id % 2 = 0),
 chain as (select * from c0 union all select * from c1 union all select * from c2)"""
+# verification also has to report items whose chain is missing
+_CHAIN = _WHOLE_CHAIN.replace("chain as (select * from c0 union all select * from c1 union all select * from c2)", "chain as (select * from (select * from c0 union all select * from c1 union all select * from c2) where evidence_id % 17 <> 0)")
 
 
-def _chain(t):
-    docs = t.documents.where("doc_id % 17 <> 0")
+def _chain(t, gaps: bool = False):
+    docs = t.documents.where("doc_id % 17 <> 0") if gaps else t.documents
     at = lambda s: F.timestamp_seconds(F.lit(1704067200) + s)
     base = cu.create_chains(docs.withColumn("name", F.concat_ws(".", "doc_id", F.lit("txt"))), "doc_id", "name", "text", at(F.lit(0)))
     odd = docs.select(F.col("doc_id").alias("evidence_id"), F.md5("text").alias("m"))
     base = base.join(odd, "evidence_id").withColumn("hash", F.when(F.col("evidence_id") % 13 == 0, F.col("m")).otherwise(F.col("hash"))).drop("m")
     parsed = docs.select(F.col("doc_id").alias("evidence_id"), F.sha2(F.lower("text"), 256).alias("hash"))
-    chain = cu.add_stage(base, parsed, "parsed", at(F.when(F.col("evidence_id") % 7 == 0, -5).otherwise(5)))
-    chain = chain.withColumn("input_hash", F.when((F.col("seq") == 1) & (F.col("evidence_id") % 11 == 0), "bad").otherwise(F.col("input_hash")))
     exported = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("evidence_id"), F.sha2(F.concat("text", F.lit("!")), 256).alias("hash"))
-    return cu.add_stage(chain, exported, "exported", at(F.lit(10)))
+    chain = cu.add_stages(base, [
+        ("parsed", parsed, at(F.when(F.col("evidence_id") % 7 == 0, -5).otherwise(5))), ("exported", exported, at(F.lit(10))),
+    ])
+    return chain.withColumn("input_hash", F.when((F.col("seq") == 1) & (F.col("evidence_id") % 11 == 0), "bad").otherwise(F.col("input_hash")))
 
 
 def _evidence(t):
     return t.documents.select(F.col("doc_id").alias("evidence_id"), F.sha2("text", 256).alias("original_hash"))
 
 
-@query("custody_chain", "EV-03 EV-04 EV-06", f"""with {_CHAIN} select evidence_id, seq, stage, substring(hash, 1, 16) || '...' as hash, input_hash, strftime(timestamp '2024-01-01' + to_seconds(t), '%Y-%m-%d %H:%M:%S') as ts from chain""")
+@query("custody_chain", "EV-03 EV-04 EV-06", f"""with {_WHOLE_CHAIN} select evidence_id, seq, stage, substring(hash, 1, 16) || '...' as hash, input_hash, strftime(timestamp '2024-01-01' + to_seconds(t), '%Y-%m-%d %H:%M:%S') as ts from chain""")
 def _(t):
     chain = _chain(t)
     return cu.chain_timeline(chain).join(chain.select("evidence_id", "seq", "input_hash"), ["evidence_id", "seq"]).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
@@ -62,10 +65,10 @@ z as (select evidence_id, count(*) as n, arg_max(stage, seq) as last from chain
 select doc_id as evidence_id, coalesce(n, 0) as chain_length, coalesce(n_errors, 0) = 0 as valid, coalesce(n_errors, 0) as n_errors, coalesce(n_warnings, 0) as n_warnings, first_error, case when coalesce(n_errors, 0) = 0 then last end as last_verified_stage
 from documents left join s on s.evidence_id = doc_id left join z on z.evidence_id = doc_id""")
 def _(t):
-    return cu.verify_chains(_evidence(t), _chain(t))
+    return cu.verify_chains(_evidence(t), _chain(t, gaps=True))
 
 
-@query("custody_report", "EV-06", f"""with {_CHAIN} select evidence_id, (seq + 1) || '. ' || upper(stage) || chr(10) || '   Hash: ' || hash || chr(10) || '   Time: ' || strftime(timestamp '2024-01-01' + to_seconds(t), '%Y-%m-%d %H:%M:%S') as block from chain""")
+@query("custody_report", "EV-06", f"""with {_WHOLE_CHAIN} select evidence_id, (seq + 1) || '. ' || upper(stage) || chr(10) || '   Hash: ' || hash || chr(10) || '   Time: ' || strftime(timestamp '2024-01-01' + to_seconds(t), '%Y-%m-%d %H:%M:%S') as block from chain""")
 def _(t):
     return cu.report_lines(_chain(t)).drop("seq")
 
