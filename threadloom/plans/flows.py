@@ -260,20 +260,20 @@ def _(t):
 
 
 def _events(t):
-    stream = sj.file_stream(t.spark, t.folder, t.events.schema, "events.parquet")
+    stream = sj.file_stream(t.spark, f"{t.folder}/events.parquet", t.events.schema)
     return stream.select("event_id", "ts", "user_id", "event_type", F.col("value").alias("duration"), (F.col("event_type") != "error").alias("success"), "props")
 
 
 @query("stream_chunks", "ST-01", """with x as (select doc_id, text, unnest(range(0, greatest(length(text) - 50, 1), 950)) as o from documents) select doc_id, count(*) as n_chunks, sum(least(1000, length(text) - o))::bigint as n_chars from x group by 1""")
 def _(t):
-    stream = sj.file_stream(t.spark, t.folder, t.documents.schema, "documents.parquet")
+    stream = sj.file_stream(t.spark, f"{t.folder}/documents.parquet", t.documents.schema)
     out = sj.run_to_table(sj.chunk_stream(stream, 1000, 50, "doc_id", "text"), "stream-chunks")
     return out.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("chunk")).alias("n_chars"))
 
 
 @query("stream_log_filter", "ST-02", f"with {_LOGS} select event_id, level, category from logs where level = 'error' and (tool is null or tool = 'error')")
 def _(t):
-    stream = sj.file_stream(t.spark, t.folder, t.events.schema, "events.parquet")
+    stream = sj.file_stream(t.spark, f"{t.folder}/events.parquet", t.events.schema)
 
     class _Source:
         events = stream
@@ -334,14 +334,14 @@ def _(t):
 
 @query("stream_dedup", "ST-08 ST-09", "select count(*) as n, count(*) as n_hashes from (select distinct text from documents)")
 def _(t):
-    stream = sj.file_stream(t.spark, t.folder, t.documents.schema, "documents.parquet").withColumn("ts", F.timestamp_seconds(F.lit(1704067200)))
+    stream = sj.file_stream(t.spark, f"{t.folder}/documents.parquet", t.documents.schema).withColumn("ts", F.timestamp_seconds(F.lit(1704067200)))
     out = sj.run_to_table(sj.first_copies(stream), "stream-dedup")
     return out.agg(F.count("*").alias("n"), F.count_distinct("content_hash").alias("n_hashes"))
 
 
 @query("stream_alerts", "ST-11", r"""select conv_id || '-' || turn as message_id, lower(unnest(regexp_extract_all(text, '(?i)\bnicht\s+(die|der|mit)\b'))) as found from conversations""")
 def _(t):
-    stream = sj.file_stream(t.spark, t.folder, t.conversations.schema, "conversations.parquet").select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), "text")
+    stream = sj.file_stream(t.spark, f"{t.folder}/conversations.parquet", t.conversations.schema).select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), "text")
     rules = [dict(grp="visit", severity=10, factor="k", type="parental_alienation", pattern=r"\bnicht\s+(die|der|mit)\b")]
     return sj.run_to_table(sj.alerts(stream, rules, "message_id", "text"), "stream-alerts").select("message_id", F.lower("matched_text").alias("found"))
 

@@ -17,14 +17,16 @@ from threadloom.operators.tables import upsert
 from threadloom.session import scratch_path
 
 
-def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", fmt: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
-    """Incremental file source; the checkpoint records which files were read, which is the resume point."""
-    return (
-        spark.readStream.schema(schema).format(fmt)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .load(folder)
-    )
+def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
+    """Incremental file source over a file, a table stored as a folder of part files, or a glob of either.
+
+    The checkpoint records which files were read, which is the resume point.
+    """
+    if not any(c in path for c in "*?[{"):
+        # the source takes a plain path for a partitioned folder and refuses files; a glob of one name takes both
+        path = path.rstrip("/")
+        path = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append", path: str | None = None, checkpoint: str | None = None) -> DataFrame:
