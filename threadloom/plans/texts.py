@@ -39,10 +39,9 @@ def _entity_sql():
 
 
 @query("entity_matches", "TX-02 TX-04", f"""with e as ({_entity_sql()})
-select doc_id, type, txt as text, count(*) as n from e where type <> 'TIME' group by all""")
+select doc_id, type, txt as text, count(*) as n from e group by all""")
 def _(t):
-    kinds = sorted({k for k, _p in lx.ENTITY_PATTERNS} - {"TIME"})
-    e = tt.extract_entities(t.documents, kinds, resolve_overlaps=False)
+    e = tt.extract_entities(t.documents, resolve_overlaps=False)
     return e.groupBy("doc_id", "type", "text").agg(F.count("*").alias("n"))
 
 
