@@ -29,17 +29,17 @@ def count_in(words: Column, vocabulary: Sequence[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(list(vocabulary))))
 
 
-def language_scores(text: Column) -> dict[str, Column]:
-    sample = F.lower(F.substring(text, 1, 1000))
+def language_scores(text: Column, prefix: int | None = None) -> dict[str, Column]:
+    sample = F.lower(F.substring(text, 1, prefix) if prefix else text)
     return {
         lang: sum((sample.rlike(ascii_boundaries(p)).cast("int") for p in pats), F.lit(0))
         for lang, pats in lx.LANGUAGE_MARKERS.items()
     }
 
 
-def guess_language(text: Column) -> Column:
-    """struct<language,confidence>: most marker words in the first 1000 characters, ties by list order."""
-    scores = language_scores(text)
+def guess_language(text: Column, prefix: int | None = None) -> Column:
+    """struct<language,confidence>: most marker words in the text (or its prefix), ties by list order."""
+    scores = language_scores(text, prefix)
     best = F.greatest(*scores.values())
     language = F.when(best == 0, F.lit("en"))
     for lang, score in scores.items():

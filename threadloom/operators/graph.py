@@ -29,7 +29,11 @@ def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, new, ["src", "type", "dst"])
 
 
-def search_vertices(vertices: DataFrame, text: str, kind: str | None = None, limit: int = 50) -> DataFrame:
+def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(limit)
+
+
+def search_vertices(vertices: DataFrame, text: str, kind: str | None = None, limit: int | None = None) -> DataFrame:
     """Vertices whose name or any property value contains the text."""
     needle = F.lit(text.lower())
     hit = F.contains(F.lower("name"), needle) | F.exists(
@@ -38,16 +42,16 @@ def search_vertices(vertices: DataFrame, text: str, kind: str | None = None, lim
     out = vertices.where(hit)
     if kind is not None:
         out = out.where(F.col("type") == kind)
-    return out.orderBy("name", "id").limit(limit)
+    return first_rows(out.orderBy("name", "id"), limit)
 
 
-def relationships(edges: DataFrame, vertex, direction: str = "both", types: Sequence[str] | None = None, limit: int = 100) -> DataFrame:
+def relationships(edges: DataFrame, vertex, direction: str = "both", types: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
     out_edges = edges.where(F.col("src") == vertex).withColumn("direction", F.lit("out"))
     in_edges = edges.where(F.col("dst") == vertex).withColumn("direction", F.lit("in"))
     found = {"out": out_edges, "in": in_edges, "both": out_edges.unionByName(in_edges)}[direction]
     if types:
         found = found.where(F.col("type").isin(list(types)))
-    return found.orderBy("src", "dst", "type", "direction").limit(limit)
+    return first_rows(found.orderBy("src", "dst", "type", "direction"), limit)
 
 
 def valid_at(edges: DataFrame, moment: Column) -> DataFrame:
@@ -98,9 +102,9 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int = 2, directed:
 
 
 def shortest_paths(
-    edges: DataFrame, source, target, max_depth: int = 5, types: Sequence[str] | None = None, directed: bool = False, limit: int = 10
+    edges: DataFrame, source, target, max_depth: int = 5, types: Sequence[str] | None = None, directed: bool = False, limit: int | None = None
 ) -> DataFrame:
-    """Shortest paths between two vertices, up to ``limit`` of the same minimal length.
+    """Shortest paths between two vertices, all of the same minimal length or the first ``limit``.
 
     Two passes: breadth-first levels from the source (one row per vertex), then only the edges
     that go one level up towards the target are walked back. No path is carried while searching,
@@ -135,10 +139,10 @@ def shortest_paths(
         back = steps.join(broadcast_if_small(paths.withColumn("dst", F.col("path")[0])), "dst").join(layer, "src", "left_semi")
         grown = back.select(F.concat(F.array("src"), "path").alias("path"))
         paths = cut_lineage(grown)
-    return paths.select(F.lit(found).alias("hops"), "path").orderBy("path").limit(limit)
+    return first_rows(paths.select(F.lit(found).alias("hops"), "path").orderBy("path"), limit)
 
 
-def entity_timeline(edges: DataFrame, vertices: DataFrame, vertex, start: Column, end: Column, limit: int = 100) -> DataFrame:
+def entity_timeline(edges: DataFrame, vertices: DataFrame, vertex, start: Column, end: Column, limit: int | None = None) -> DataFrame:
     """Edges of a vertex inside a period with the other vertex, newest first."""
     touching = edges.where((F.col("src") == vertex) | (F.col("dst") == vertex))
     inside = touching.where((F.col("valid_from") >= start) & (F.col("valid_from") <= end))
@@ -146,7 +150,7 @@ def entity_timeline(edges: DataFrame, vertices: DataFrame, vertex, start: Column
     named = inside.withColumn("other", other).join(
         vertices.select(F.col("id").alias("other"), F.col("name").alias("other_name")), "other", "left"
     )
-    return named.orderBy(F.desc("valid_from"), "src", "dst", "type").limit(limit)
+    return first_rows(named.orderBy(F.desc("valid_from"), "src", "dst", "type"), limit)
 
 
 def fact_contradictions(facts: DataFrame, claims: DataFrame, entity: str = "entity", text: str = "text") -> DataFrame:

@@ -351,12 +351,13 @@ def by_priority(matches: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return matches.orderBy(F.desc("priority"), id_col, "start", "end", "rule_id")
 
 
-def suggest_rule_sets(matches: DataFrame, id_col: str = "doc_id", top: int = 5) -> DataFrame:
-    """Best rule sets per text: a tenth per match, at most 1."""
+def suggest_rule_sets(matches: DataFrame, id_col: str = "doc_id", top: int | None = None) -> DataFrame:
+    """Rule sets per text by score, all or the ``top`` best: a tenth per match, at most 1."""
     scored = matches.groupBy(id_col, "ruleset_id").agg(F.count("*").alias("n_matches"))
     scored = scored.withColumn("score", F.least(F.col("n_matches") * 0.1, F.lit(1.0)))
     w = Window.partitionBy(id_col).orderBy(F.desc("score"), "ruleset_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 # --- line search -----------------------------------------------------------------------------
@@ -440,7 +441,7 @@ def keyword_search(
     name: str,
     description: str,
     tags: str,
-    k: int = 10,
+    k: int | None = None,
     weights: tuple[int, int, int, int] = (100, 50, 25, 10),
     tie: str | None = None,
 ) -> DataFrame:
@@ -457,7 +458,8 @@ def keyword_search(
             + F.when(F.contains(low_desc, t), desc).otherwise(0)
         )
     order = [F.desc("score"), F.col(tie or name)]
-    return table.withColumn("score", score).where("score > 0").orderBy(*order).limit(k)
+    found = table.withColumn("score", score).where("score > 0").orderBy(*order)
+    return found if k is None else found.limit(k)
 
 
 def route(

@@ -251,9 +251,9 @@ def _(t):
 , unused as (select 1) select doc_id, ruleset_id, n_matches, round(least(n_matches * 0.1, 1.0), 6) as score,
  row_number() over (partition by doc_id order by least(n_matches * 0.1, 1.0) desc, ruleset_id) as rank
 from (select doc_id, ruleset_id, count(*) as n_matches from m group by all)
-""").replace("from documents", "from (select doc_id, substring(text, 1, 5000) as text from documents)"))
+"""))
 def _(t):
-    docs = t.documents.select("doc_id", F.substring("text", 1, 5000).alias("text"))
+    docs = t.documents.select("doc_id", "text")
     out = pm.suggest_rule_sets(pm.evaluate_rules(docs, lx.builtin_rules(t.spark)))
     return out.withColumn("score", F.round("score", 6))
 

@@ -21,7 +21,7 @@ def _lang_sql():
 _LANGS = list(lx.LANGUAGE_MARKERS)
 
 
-@query("language_guess", "TX-01", f"""with s as (select doc_id, lang, lower(substring(text, 1, 1000)) as s from documents),
+@query("language_guess", "TX-01", f"""with s as (select doc_id, lang, lower(text) as s from documents),
 x as (select doc_id, lang, {_lang_sql()} from s), b as (select *, greatest({', '.join(_LANGS)}) as best from x)
 select doc_id, lang as declared, case when best = 0 then 'en' {' '.join(f"when {l} = best then '{l}'" for l in _LANGS)} end as guessed,
  round(least(best / 5.0, 1.0), 6) as confidence from b""")
@@ -90,18 +90,17 @@ def _(t):
     return tt.extract_keywords_by_share(t.documents, 5).withColumn("score", F.round("score", 6))
 
 
-# The corpus holds no English sentiment words, so the two scorers run on a joined review line that
-# carries labels of the documents in words.
+# The corpus holds no English sentiment words, so a line that says the labels of a document in words stands before its text.
 _REVIEW_SQL = """review as (select d.doc_id, (case when quality = 1 then 'good great nice ' else 'bad boring ' end
- || case when toxic = 1 then 'awful, horrible hate ' else 'love ' end || substring(text, 1, 400)) as text from documents d join labels using (doc_id))"""
+ || case when toxic = 1 then 'awful, horrible hate ' else 'love ' end || text) as text from documents d left join labels using (doc_id))"""
 
 
 def _review(t):
-    return t.documents.join(t.labels, "doc_id").select(
+    return t.documents.join(t.labels, "doc_id", "left").select(
         "doc_id",
         F.concat(F.when(F.col("quality") == 1, "good great nice ").otherwise("bad boring "),
                  F.when(F.col("toxic") == 1, "awful, horrible hate ").otherwise("love "),
-                 F.substring("text", 1, 400)).alias("text"))
+                 F.col("text")).alias("text"))
 
 
 def _inlist(words):

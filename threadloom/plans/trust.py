@@ -195,7 +195,7 @@ def _(t):
     target = (t.supplier.where("s_suppkey = 1").join(home, F.col("s_nationkey") == F.col("a.n_nationkey"))
               .join(other, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") != F.col("b.n_nationkey")))
               .agg(F.min("b.n_nationkey")).first()[0])
-    paths = gr.shortest_paths(_edges(t), "s1", f"n{target}", 5, types=["BASED_IN", "PART_OF"])
+    paths = gr.shortest_paths(_edges(t), "s1", f"n{target}", 5, types=["BASED_IN", "PART_OF"], limit=10)
     return paths.select("hops", F.array_join("path", ">").alias("path"))
 
 
