@@ -34,8 +34,8 @@ def _blank(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def entity_spans(text: Column) -> Column:
-    """All matches of the entity patterns as array<struct<start,ord,end,type,text,confidence>>."""
+def entity_spans(text: Column, types: list[str] | None = None) -> Column:
+    """All matches of the entity patterns (of some types) as array<struct<start,ord,end,type,text,confidence>>."""
 
     def tagged(spans: Column, kind: Column, order: Column) -> Column:
         return F.transform(
@@ -54,13 +54,15 @@ def entity_spans(text: Column) -> Column:
         [
             Row(ord=i, type=kind, regex=sp.ascii_boundaries(pattern))
             for i, (kind, pattern) in enumerate(lx.ENTITY_PATTERNS)
-            if kind != "PERSON"
+            if kind != "PERSON" and (types is None or kind in types)
         ],
         "ord int, type string, regex string",
     )
     by_pattern = F.flatten(
         F.transform(table, lambda p: tagged(sp.regex_spans(text, p["regex"]), p["type"], p["ord"]))
     )
+    if types is not None and "PERSON" not in types:
+        return by_pattern
     names = tagged(_name_spans(text), F.lit("PERSON"), F.lit(len(lx.ENTITY_PATTERNS)))
     return F.concat(by_pattern, names)
 
@@ -117,7 +119,8 @@ def extract_entities(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    spans = entity_spans(F.col(text_col))
+    # overlaps are decided among all types, so only then are all patterns needed
+    spans = entity_spans(F.col(text_col), None if resolve_overlaps else types)
     if resolve_overlaps:
         spans = sp.drop_overlaps(spans, ENTITY_STRUCT)
     out = docs.select(id_col, F.explode(spans).alias("e")).select(
