@@ -12,7 +12,7 @@ the id):
 1. the sentences of a toxic document hold a bad word somewhere. Words are counted by the different words they follow,
    so copies of a text count once. A word is bad if it stands in toxic documents alone (all but a twentieth) and more
    often than chance allows; further words are taken where they alone explain documents, those that explain most
-   first. Words of clean documents are the other class;
+   first. Each also counts with a letter put in. Words of clean documents are the other class;
 2. landmarks are drawn from both classes; the kernel to the landmarks, whitened, gives the features of a linear
    squared-hinge SVM. It is fitted, scores the clean words, and is fitted again with the worst of them, twice;
 3. a logistic curve over the worst word of each document turns margins into scores with 0.5 as the border.
@@ -128,6 +128,11 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> tu
     return w[:-1], float(w[-1])
 
 
+def _disguised(word: str) -> list[str]:
+    """The word with a letter put in, near its middle and in its second half."""
+    return [word[:i] + "x" + word[i:] for i in (len(word) // 2, 2 * len(word) // 3)]
+
+
 def fit_words(bad: list[str], good: list[str], landmarks: int = 320) -> tuple[bytes, float]:
     """Subsequence weights and bias from folded words of both classes."""
     half = landmarks // 2
@@ -136,6 +141,7 @@ def fit_words(bad: list[str], good: list[str], landmarks: int = 320) -> tuple[by
     value, vector = np.linalg.eigh((inner + inner.T) / 2)
     keep = value > 1e-6
     white = vector[:, keep] / np.sqrt(value[keep])
+    bad = [*bad, *[v for w in bad if len(w) > 4 for v in _disguised(w)]]
     words = [*bad, *good]
     y = np.concatenate([np.ones(len(bad)), -np.ones(len(good))])
     cost = np.where(y > 0, 1.0 / max(len(bad), 1), 1.0 / max(len(good), 1)) * CAPACITY
@@ -202,12 +208,12 @@ class Scorer:
                 parts.append(part)
                 owner.append(i)
         out = np.full(len(words), self.bias)
-        for a in range(0, len(parts), 50_000):
-            part = parts[a : a + 50_000]
+        for a in range(0, len(parts), 10_000):
+            part = parts[a : a + 10_000]
             of, code, weight = subsequences(part)
             total = np.bincount(of, weight * self.table[code], len(part))
             norm = np.sqrt(np.bincount(of, weight**2, len(part)))
-            np.maximum.at(out, owner[a : a + 50_000], total / np.maximum(norm, 1e-12) + self.bias)
+            np.maximum.at(out, owner[a : a + 10_000], total / np.maximum(norm, 1e-12) + self.bias)
         return out
 
     def texts(self, texts: pa.Array) -> np.ndarray:
@@ -305,8 +311,13 @@ def fit(
         good = list(dict.fromkeys([*[w for r in worst if len(w := fold(r["w"])) > 2 and w not in taken], *good]))
     weights, bias = fit_words(bad, good)
     worst = rows.select("__toxic", margin_column("__text", weights, bias).alias("m")).collect()
-    slope, offset = _logistic(np.array([r["m"] for r in worst]), np.array([r["__toxic"] for r in worst], float))
-    return Model(weights, bias, slope, offset)
+    margin, toxic = np.array([r["m"] for r in worst]), np.array([r["__toxic"] for r in worst], float)
+    slope, offset = _logistic(margin, toxic)
+    # where no document lies between the classes, the border stays near the SVM's own, for words not seen before
+    border = -offset / slope if slope > 0 else 0.0
+    below = margin[(toxic == 0) & (margin < border)]
+    border = min(border, max(0.25, (below.max() + border) / 2)) if len(below) else border
+    return Model(weights, bias, slope, -slope * border)
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
