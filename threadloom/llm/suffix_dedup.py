@@ -29,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.words import blocks
@@ -259,20 +259,25 @@ def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", t
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; ``kept`` holds the remaining bytes."""
     if length < GRAM + CELL or window_of(length) > 4096:
         raise ValueError(f"length must lie between {GRAM + CELL} and 4127 bytes")
-    base = _with_version(docs, doc_id, text)
-    suffixes = _stored(_repeated_suffixes(base.where(F.octet_length("text") >= length), length))
-    whole, opened = _by_run(suffixes)
-    touched = _stored(_with_places(base, opened, {"place": "open"}, "inner"))
-    cells = _stored(touched.mapInArrow(_cells(length), "doc_id bigint, version bigint, place bigint, cell bigint, core bigint, hull bigint"))
-    more, mixed = _by_cell(cells)
-    strings = _with_places(touched.drop("open"), mixed, {"place": "open"}, "inner").mapInArrow(
+    base, shelf = _with_version(docs, doc_id, text), _Shelf(docs.sparkSession)
+    suffixes = shelf.put("suffixes", _repeated_suffixes(base.where(F.octet_length("text") >= length), length))
+    runs = shelf.put("runs", _counted(suffixes, "rank", "run"))
+    touched = shelf.put("touched", _with_places(base, _open(runs, "rank"), {"place": "open"}, "inner"))
+    cells = shelf.put("cells", touched.mapInArrow(_cells(length), "doc_id bigint, version bigint, place bigint, cell bigint, core bigint, hull bigint"))
+    hulls = shelf.put("hulls", _counted(cells, "cell", "core", "hull"))
+    mixed = shelf.put("mixed", _open(hulls, "cell", "core"))
+    whole = shelf.put("whole", _twice(suffixes, runs, "rank", "run").union(_twice(cells, hulls, "cell", "core", "hull")))
+    shelf.drop("suffixes", "runs", "cells", "hulls")
+    strings = shelf.put("strings", _with_places(touched.drop("open"), mixed, {"place": "open"}, "inner").mapInArrow(
         _strings(length), "doc_id bigint, version bigint, start bigint, rank bigint, string bigint"
-    )
-    strings = _stored(strings)
+    ))
+    shelf.drop("touched", "mixed")
     again = strings.groupBy("rank", "string").count().where("count > 1").select("rank", "string")
-    single = strings.join(again, ["rank", "string"], "left_semi").select("doc_id", "version", F.col("start").alias("single"), F.lit(None).cast("long").alias("whole"))
-    gone = whole.union(more).select("doc_id", "version", F.lit(None).cast("long").alias("single"), F.col("place").alias("whole")).union(single)
-    ready = _with_places(base, _stored(gone), {"whole": "whole", "single": "single"}, "left")
+    none = F.lit(None).cast("long")
+    single = strings.join(again, ["rank", "string"], "left_semi").select("doc_id", "version", F.col("start").alias("single"), none.alias("whole"))
+    gone = shelf.put("gone", whole.select("doc_id", "version", none.alias("single"), F.col("place").alias("whole")).union(single))
+    shelf.drop("whole", "strings")
+    ready = _with_places(base, gone, {"whole": "whole", "single": "single"}, "left")
     return ready.mapInArrow(_cut(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
@@ -283,20 +288,20 @@ def _repeated_suffixes(long: DataFrame, length: int) -> DataFrame:
     return suffixes.join(repeated, "rank", "left_semi")
 
 
-def _by_run(suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Places of runs that occur twice, and of one copy of every run of a rank that also has unique runs."""
-    runs = _stored(suffixes.groupBy("rank", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "place")).alias("first")))
-    ranks = runs.groupBy("rank").agg((F.min("n") == 1).alias("open")).where("open")
-    whole = suffixes.join(runs.where("n > 1").select("rank", "run"), ["rank", "run"], "left_semi")
-    return whole.select("doc_id", "version", "place"), runs.join(ranks, "rank", "left_semi").select("first.*")
+def _counted(rows: DataFrame, *ranks: str) -> DataFrame:
+    """How often each rank occurs (n), and its first place."""
+    return rows.groupBy(*ranks).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "place")).alias("first"))
 
 
-def _by_cell(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Places of cells that repeat as a whole, and one copy of each cell whose core also stands in unique cells."""
-    hulls = _stored(cells.groupBy("cell", "core", "hull").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "place")).alias("first")))
-    cores = hulls.groupBy("cell", "core").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n > 1 and least = 1")
-    whole = cells.join(hulls.where("n > 1").select("cell", "core", "hull"), ["cell", "core", "hull"], "left_semi")
-    return whole.select("doc_id", "version", "place"), hulls.join(cores.select("cell", "core"), ["cell", "core"], "left_semi").select("first.*")
+def _twice(rows: DataFrame, counted: DataFrame, *ranks: str) -> DataFrame:
+    """Places whose rank occurs twice."""
+    return rows.join(counted.where("n > 1").select(*ranks), list(ranks), "left_semi").select("doc_id", "version", "place")
+
+
+def _open(counted: DataFrame, *shorter: str) -> DataFrame:
+    """One place of each rank, for the shorter ranks that occur twice and hold a unique one."""
+    ranks = counted.groupBy(*shorter).agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n > 1 and least = 1")
+    return counted.join(ranks.select(*shorter), list(shorter), "left_semi").select("first.*")
 
 
 def _with_places(docs: DataFrame, rows: DataFrame, lists: dict[str, str], how: str) -> DataFrame:
@@ -305,15 +310,24 @@ def _with_places(docs: DataFrame, rows: DataFrame, lists: dict[str, str], how: s
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__v")), how).drop("__id", "__v")
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder, read again; shuffles of finished steps can then be dropped.
+class _Shelf:
+    """Tables of finished steps in the shared folder, dropped when no later step reads them.
 
-    Spark's cleaner drops them when the driver collects garbage, by default every half hour; a step asks for it.
+    Shuffles of finished steps go too: Spark's cleaner removes them when the driver collects garbage, by default every
+    half hour, so a step asks for it.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, "suffix")
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    del df
-    spark.sparkContext._jvm.System.gc()
-    return out
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path = self.paths[name] = scratch_path(self.spark, f"suffix-{name}")
+        df.write.option("compression", "zstd").parquet(path)
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
