@@ -57,26 +57,20 @@ def test_regex_spans_agree_with_finditer(spark):
 
 
 def test_builtin_phrases(spark):
-    d = docs(
-        spark,
-        "That never happened, you're imagining things. You're being paranoid.",
-        "You're perfect, you're my everything",
-        "This is your fault, you made me",
-        "You'll regret this decision. You'll never see the kids again.",
-        "The weather is nice today",
-    )
-    found = pm.match_lexicon(d, lx.builtin_lexicon(spark))
+    lexicon = lx.builtin_lexicon(spark)
+    modules = ["gaslighting", "love_bombing", "blame_shifting", "threats_intimidation"]
+    terms = {r.module: r.term for r in lexicon.where(F.col("module").isin(modules)).groupBy("module").agg(F.min("term").alias("term")).collect()}
+    d = docs(spark, *[f"Last spring a neighbour wrote: {terms[m].upper()} -- and went home." for m in modules], "Rain fell on the orchard.")
+    found = pm.match_lexicon(d, lexicon)
     by_doc = {}
     for r in found.collect():
         by_doc.setdefault(r.doc_id, set()).add(r.module)
         assert r.matched_text.lower() == r.term
-    assert "gaslighting" in by_doc[0] and "love_bombing" in by_doc[1]
-    assert "blame_shifting" in by_doc[2] and "threats_intimidation" in by_doc[3]
-    assert 4 not in by_doc
-    only = pm.match_lexicon(d, pm.enabled_lexicon(lx.builtin_lexicon(spark), ["love_bombing"]))
+    assert all(m in by_doc[i] for i, m in enumerate(modules)) and 4 not in by_doc
+    only = pm.match_lexicon(d, pm.enabled_lexicon(lexicon, ["love_bombing"]))
     assert {r.module for r in only.collect()} == {"love_bombing"}
     scores = {r.doc_id: r.severity_score for r in cl.severity_scores(found).collect()}
-    assert all(0 < scores[i] <= 100 for i in (0, 2, 3)) and scores[1] == 0
+    assert all(0 < scores[i] <= 100 for i in (0, 2, 3))
 
 
 def test_large_lexicon_path_equals_inline(spark):

@@ -206,40 +206,51 @@ LANGUAGE_MARKERS = {
 }
 
 # Keyword stop words.
-KEYWORD_STOP_WORDS = (
-    "the and for are but not you all can had her was one our out has have been were they this"
-    " that with from will would there their what about which when make like time just know take"
-    " into year your some could them other than then"
-).split()
+KEYWORD_STOP_WORDS = [
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one",
+    "our", "out", "has", "have", "been", "were", "they", "this", "that", "with", "from", "will",
+    "would", "there", "their", "what", "about", "which", "when", "make", "like", "time", "just",
+    "know", "take", "into", "year", "your", "some", "could", "them", "other", "than", "then",
+]
 
 # Retrieval stop words.
-RETRIEVAL_STOP_WORDS = (
-    "a an the and or but in on at to for of with by from as is was are were been be have has had"
-    " do does did will would could should may might must shall can need dare ought used it its"
-    " this that these those i you he she we they what which who whom whose where when why how all"
-    " each every both few more most other some such no nor not only own same so than too very"
-    " just also"
-).split()
+RETRIEVAL_STOP_WORDS = [
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from",
+    "as", "is", "was", "are", "were", "been", "be", "have", "has", "had", "do", "does", "did",
+    "will", "would", "could", "should", "may", "might", "must", "shall", "can", "need", "dare",
+    "ought", "used", "it", "its", "this", "that", "these", "those", "i", "you", "he", "she", "we",
+    "they", "what", "which", "who", "whom", "whose", "where", "when", "why", "how", "all", "each",
+    "every", "both", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only",
+    "own", "same", "so", "than", "too", "very", "just", "also",
+]
 
 # Sentiment words (token-count and distinct-word variants).
-POSITIVE_WORDS = (
-    "good great excellent amazing wonderful fantastic love happy joy positive best perfect"
-    " beautiful awesome brilliant outstanding superb delightful pleasant nice"
-).split()
-NEGATIVE_WORDS = (
-    "bad terrible awful horrible hate worst poor sad negative ugly disappointing frustrating"
-    " annoying boring dreadful disgusting unpleasant painful miserable angry"
-).split()
-POSITIVE_WORDS_SHORT = (
-    "good great excellent amazing wonderful fantastic love happy best perfect beautiful awesome"
-).split()
-NEGATIVE_WORDS_SHORT = (
-    "bad terrible awful horrible hate worst poor disappointing sad angry ugly boring"
-).split()
+POSITIVE_WORDS = [
+    "good", "great", "excellent", "amazing", "wonderful", "fantastic", "love", "happy", "joy",
+    "positive", "best", "perfect", "beautiful", "awesome", "brilliant", "outstanding", "superb",
+    "delightful", "pleasant", "nice",
+]
+NEGATIVE_WORDS = [
+    "bad", "terrible", "awful", "horrible", "hate", "worst", "poor", "sad", "negative", "ugly",
+    "disappointing", "frustrating", "annoying", "boring", "dreadful", "disgusting", "unpleasant",
+    "painful", "miserable", "angry",
+]
+POSITIVE_WORDS_SHORT = [
+    "good", "great", "excellent", "amazing", "wonderful", "fantastic", "love", "happy", "best",
+    "perfect", "beautiful", "awesome",
+]
+NEGATIVE_WORDS_SHORT = [
+    "bad", "terrible", "awful", "horrible", "hate", "worst", "poor", "disappointing", "sad",
+    "angry", "ugly", "boring",
+]
 
 # Linguistic markers.
-NEGATION_WORDS = "not no never none nobody nothing neither nowhere hardly".split()
-INTENSIFIERS = "very extremely absolutely completely totally really so too".split()
+NEGATION_WORDS = [
+    "not", "no", "never", "none", "nobody", "nothing", "neither", "nowhere", "hardly",
+]
+INTENSIFIERS = [
+    "very", "extremely", "absolutely", "completely", "totally", "really", "so", "too",
+]
 
 # Platform codes of cluster ids.
 PLATFORM_CODES = {
@@ -311,9 +322,10 @@ LEXICON_CATEGORIES = [
 # Marker vocabularies of the statistical language markers.
 FIRST_PERSON = ["i", "me", "my", "mine", "myself"]
 SECOND_PERSON = ["you", "your", "yours", "yourself"]
-CERTAINTY_WORDS = (
-    "always never nothing everything everyone nobody fact obviously clearly literally"
-).split()
+CERTAINTY_WORDS = [
+    "always", "never", "nothing", "everything", "everyone", "nobody", "fact", "obviously",
+    "clearly", "literally",
+]
 HEDGE_WORDS = [
     "maybe", "perhaps", "possibly", "might", "could", "i think", "i guess", "sort of", "kind of",
     "probably",
