@@ -47,9 +47,8 @@ def test_every_character_between_words(library, vocabulary):
     assert encoded(vocabulary, texts) == [library.encode_ordinary(t) for t in texts]
 
 
-def test_words_are_forgotten_without_a_trace(library, vocabulary, monkeypatch, documents):
-    monkeypatch.setattr(byte_bpe, "CACHE_ENTRIES", 50)
-    own = byte_bpe.Encoder(vocabulary, PATTERN)
+def test_words_are_forgotten_without_a_trace(library, vocabulary, documents):
+    own = byte_bpe.Encoder(vocabulary, PATTERN, remembered=50)
     texts = [r.text for r in documents[:40]]
     assert [x.tolist() for x in byte_bpe.id_rows(own.encode(pa.array(texts)))] == [library.encode_ordinary(t) for t in texts]
 

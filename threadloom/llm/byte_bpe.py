@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.words import at_blanks, blocks, gathered
 
-#: Words of each of two generations that a worker remembers (about 80 MB each), and the length of the longest of them.
-CACHE_ENTRIES, CACHED_CHARS = 300_000, 64
+#: Words of each of two generations that a worker remembers (about 25 MB each), bytes of text handled at once, and the
+#: length of the longest word remembered. More of both is faster and takes more memory.
+CACHE_ENTRIES, BLOCK_BYTES, CACHED_CHARS = 100_000, 2_000_000, 64
 _MARKS = (".", ",", ";", ":", "!", "?")
 
 
@@ -110,9 +111,10 @@ class Encoder:
     generations: when the newer one is full it becomes the older one, and words still met move up again.
     """
 
-    def __init__(self, vocabulary: str, pattern: str):
+    def __init__(self, vocabulary: str, pattern: str, remembered: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.merge = self.tokenizer.model.tokenize
         self.find = regex.compile(pattern).findall
@@ -143,7 +145,7 @@ class Encoder:
             if ids is None:
                 ids = self._word(word)
             if len(word) <= CACHED_CHARS:
-                if len(self.words) >= CACHE_ENTRIES:
+                if len(self.words) >= self.remembered:
                     self.older, self.words = self.words, {}
                 self.words[word] = ids
         return ids
@@ -179,8 +181,8 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(vocabulary: str, pattern: str) -> Encoder:
-    return Encoder(vocabulary, pattern)
+def encoder(vocabulary: str, pattern: str, remembered: int = CACHE_ENTRIES) -> Encoder:
+    return Encoder(vocabulary, pattern, remembered)
 
 
 def _ended(ids: pa.Array, end_id: int) -> pa.Array:
@@ -199,15 +201,17 @@ def id_rows(ids: pa.Array):
 
 
 # ---------------------------------------------------------------- columns and tables
-def encode_column(text: Column | str, vocabulary: str, pattern: str, end_id: int | None = None) -> Column:
+def encode_column(
+    text: Column | str, vocabulary: str, pattern: str, end_id: int | None = None, remembered: int = CACHE_ENTRIES, block_bytes: int = BLOCK_BYTES,
+) -> Column:
     """array<int>: the ids of a text, with ``end_id`` behind them where given."""
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        enc = encoder(vocabulary, pattern)
+        enc = encoder(vocabulary, pattern, remembered)
         gc.disable()  # large lists of strings and no cycles: collections would only walk over them again and again
         try:
-            out = [enc.encode(block) for block in blocks(texts, 8_000_000)] or [pa.array([], pa.list_(pa.int32()))]
+            out = [enc.encode(block) for block in blocks(texts, block_bytes)] or [pa.array([], pa.list_(pa.int32()))]
         finally:
             gc.enable()
         return pa.concat_arrays(out if end_id is None else [_ended(ids, end_id) for ids in out])

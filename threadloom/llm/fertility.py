@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.words import between_spaces, blocks, gathered
 
-#: Words a worker remembers (about 60 MB at most), and the longest of them.
-CACHE_ENTRIES, CACHED_CHARS = 400_000, 64
+#: Words a worker remembers (about 25 MB at most), and the longest of them.
+CACHE_ENTRIES, CACHED_CHARS = 150_000, 64
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 MEASURES = (
@@ -138,7 +138,7 @@ def measure_column(text: Column | str, model: bytes) -> Column:
     @F.arrow_udf(f"struct<{MEASURES}>")
     def measure(texts: pa.Array) -> pa.Array:
         out, meter = [], _meter(model)
-        for block in blocks(texts, 8_000_000):
+        for block in blocks(texts, 2_000_000):
             out += meter.measure(block)
         names = [f.split(":")[0] for f in MEASURES.split(",")]
         kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.string()]
