@@ -66,7 +66,7 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: fl
 
 def mix(
     docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 7,
-    source: str = "source", text: str = "text", doc_id: str = "doc_id", buckets: int = 1024, rows_ranked: int = 100_000,
+    source: str = "source", text: str = "text", doc_id: str = "doc_id", buckets: int = 1024, rows_ranked: int = 4_096,
 ) -> DataFrame:
     """Every row with ``size``, ``source_size``, ``target`` and ``copies`` (how often the mix takes it; 0: not at all)."""
     size, draw = word_count(F.col(text)), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
