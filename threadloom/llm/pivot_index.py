@@ -105,9 +105,10 @@ def _length_search(classes: DataFrame, asked: DataFrame, k: int, pivots: int, ri
                 yield pd.DataFrame({"class": f["class"], "vector": f["vector"], "pivot": near.astype(np.int32), "d": d[np.arange(len(f)), near]})
 
     rows = cut_lineage(classes.select("class", "vector").mapInPandas(keyed, "class long, vector array<long>, pivot int, d double"))
-    edges = rows.groupBy("pivot").agg(F.percentile_approx("d", [i / rings for i in range(1, rings)], 1000).alias("edges"))
-    rows = rows.join(F.broadcast(edges), "pivot")  # at most one row for each pivot
-    rows = rows.withColumn("ring", F.size(F.filter("edges", lambda e: e < F.col("d")))).drop("edges")
+    # approximate quantiles can differ when computed again: they are taken once, at most one row for each pivot
+    found = rows.groupBy("pivot").agg(F.percentile_approx("d", [i / rings for i in range(1, rings)], 1000).alias("edges")).collect()
+    edges = F.create_map(*[F.lit(x) if isinstance(x, int) else F.array(*map(F.lit, x)) for r in found for x in (r["pivot"], r["edges"])])
+    rows = rows.withColumn("ring", F.size(F.filter(F.element_at(edges, F.col("pivot")), lambda e: e < F.col("d"))))
     annuli = rows.groupBy("pivot", "ring").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count("*").alias("n")).toPandas()
     annuli = annuli.sort_values(["pivot", "ring"], ignore_index=True)  # at most pivots x rings rows
     annuli["blocks"] = -(-annuli["n"] // block)
@@ -130,7 +131,7 @@ def _length_search(classes: DataFrame, asked: DataFrame, k: int, pivots: int, ri
     chunks = max(1, -(-near.count() // chunk))
     near = near.withColumn("chunk", F.pmod(F.col("pivot") * rings + F.col("ring"), F.lit(chunks)))
     spread = F.ceil(F.count("*").over(Window.partitionBy("chunk")) / chunk)
-    near = near.withColumn("slice", F.pmod(F.xxhash64("class"), spread).cast("int"))
+    near = cut_lineage(near.withColumn("slice", F.pmod(F.xxhash64("class"), spread).cast("int")))
 
     def gather(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("class")
