@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,31 @@ def test_repeats_at_edges(spark, length, monkeypatch):
         assert (row.n_bytes, row.n_removed, row.n_spans, bytes(row.kept)) == want[row.doc_id], row.doc_id
 
 
+@pytest.mark.parametrize("length", [30, 64, 200])
+def test_runs_of_cut_texts_are_whole(length, monkeypatch):
+    r = random.Random(length)
+    texts = ["".join(r.choice("abé cdefghij") for _ in range(9_000)), "ab" * 2_000, "x" * 3_000]
+    runs = lambda text: [tuple(x) for part in suffix_dedup._runs(pa.array([text]), length) for x in zip(*(c.tolist() for c in part))]
+    whole = [runs(t) for t in texts]
+    for piece in (257, 700, 701, 2_999):
+        monkeypatch.setattr(suffix_dedup, "_PIECE", piece)
+        assert [runs(t) for t in texts] == whole, piece
+
+
+def test_text_longer_than_a_piece(spark):
+    piece = suffix_dedup._PIECE
+    raw = bytearray(random.Random(5).randbytes(2 * piece + 150_000).hex()[: 2 * piece + 150_000].encode())
+    text = bytes(raw)  # nothing repeats
+    shared = raw[piece - 250 : piece + 50]
+    raw[70_000:70_302] = b"<" + shared + b">"
+    df = spark.createDataFrame([(1, text.decode()), (2, raw.decode())], "doc_id long, text string")
+    alone = df.where("doc_id = 1").coalesce(1)
+    assert [(x.n_removed, x.n_spans, bytes(x.kept)) for x in suffix_dedup.remove_repeats(alone).collect()] == [(0, 0, text)]
+    (got,) = suffix_dedup.remove_repeats(df.where("doc_id = 2").coalesce(1)).collect()
+    kept = raw[:70_001] + raw[70_301 : piece - 250] + raw[piece + 50 :]
+    assert (got.n_removed, got.n_spans, bytes(got.kept)) == (600, 2, bytes(kept))
+
+
 def test_repeats_of_odd_rows(odd_documents, no_documents):
     rows = odd_documents.collect()
     got = suffix_dedup.remove_repeats(odd_documents).collect()

@@ -98,22 +98,27 @@ def minima(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[_Prints, n
 
 
 def _pieces(texts: pa.Array, length: int):
-    """(rows, bases, raw, owner, starts): whole texts put together up to 250 kB, longer ones alone and cut with overlap."""
-    base = 0
+    """(rows, bases, parts, own): whole texts put together up to 250 kB, longer ones alone and cut with overlap.
+
+    A piece of a cut text has the runs whose first start lies in ``own``. It begins one start before them and ends a
+    window after them, so that each of its own runs lies in it whole and no other piece has the same run.
+    """
+    base, window = 0, window_of(length)
     for block in blocks(texts, 250_000):
         encoded = [(t or "").encode() for t in block.to_pylist()]
         if len(encoded) == 1 and len(encoded[0]) > _PIECE:
             for a in range(0, len(encoded[0]) - length + 1, _PIECE):
-                yield [base], [a], [encoded[0][a : a + _PIECE + length - 1]]
+                begin = max(a - 1, 0)
+                yield [base], [begin], [encoded[0][begin : a + _PIECE + window + length]], (a, a + _PIECE)
         else:
-            yield [base + i for i in range(len(encoded))], [0] * len(encoded), encoded
+            yield [base + i for i in range(len(encoded))], [0] * len(encoded), encoded, None
         base += len(encoded)
 
 
 def _runs(texts: pa.Array, length: int):
     """For each piece: row numbers, positions of minimum, first and last start in their text, rank and run rank."""
     window = window_of(length)
-    for rows, bases, parts in _pieces(texts, length):
+    for rows, bases, parts, own in _pieces(texts, length):
         sizes = np.array([len(p) for p in parts], np.int64)
         raw = np.frombuffer(b"".join(parts), np.uint8)
         if len(raw) < length:
@@ -125,6 +130,9 @@ def _runs(texts: pa.Array, length: int):
         if not starts.any():
             continue
         prints, least, first, last = minima(raw, starts, length)
+        if own:
+            mine = (first + bases[0] >= own[0]) & (first + bases[0] < own[1])
+            least, first, last = least[mine], first[mine], last[mine]
         owner = np.searchsorted(ends, first, "right")
         shift = (ends - sizes)[owner] - np.array(bases, np.int64)[owner]
         rank = prints(least, least + length - window)
