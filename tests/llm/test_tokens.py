@@ -71,6 +71,18 @@ def test_query_op1(spark, sample, documents):
     assert set(map(tuple, queries.op1_token_files(spark, sample).collect())) == want
 
 
+def test_added_tokens_of_the_file(spark):
+    library = Tokenizer.from_file(queries.VOCABULARY_FILE)
+    own = byte_bpe.vocabulary_from_file(queries.VOCABULARY_FILE)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  y<|endoftext|><|endoftext|>\n z.", "<|endoftext| > plain", "no token here", None, "", "é <|endoftext|>"]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert encoded(own, texts) == want
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rows = byte_bpe.decode(byte_bpe.encode(df, own, PATTERN), own, PATTERN).collect()
+    assert [bytes(r.decoded).decode() for r in sorted(rows, key=lambda r: r.id)] == [t or "" for t in texts]
+
+
 def test_offsets_cover_split_characters(spark, vocabulary, library):
     text = "naïve 😀 日本ሴx"
     row = byte_bpe.encode(spark.createDataFrame([(text,)], "text string"), vocabulary, PATTERN, offsets="at").first()

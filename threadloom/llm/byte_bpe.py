@@ -2,7 +2,8 @@
 
 A text is cut into the matches of the pre-tokenizer's pattern; each is mapped to the characters of its bytes and
 merged on its own. Natural text repeats its words, so a worker remembers the ids of words it has met and hands only
-new ones to the library. Nothing is shuffled; a row needs its text, its ids and the cache.
+new ones to the library. Texts that hold one of the description's added tokens go to the library as they are. Nothing
+is shuffled; a row needs its text, its ids and the cache.
 
 Null texts count as empty and give no ids. Null ids decode to an empty value. An id outside the vocabulary raises.
 Repeated rows give repeated results; empty tables give empty tables. An output column replaces an input column of the
@@ -20,6 +21,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,7 +124,12 @@ class Encoder:
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.bytes_of = [token_bytes(t) for t, _ in sorted(json.loads(vocabulary)["model"]["vocab"].items(), key=lambda x: x[1])]
+        described = json.loads(vocabulary)
+        self.bytes_of = [token_bytes(t) for t, _ in sorted(described["model"]["vocab"].items(), key=lambda x: x[1])]
+        self.added = [t["content"] for t in described.get("added_tokens") or []]
+        # an added token stands for its own text
+        for token in sorted(described.get("added_tokens") or [], key=lambda t: t["id"]):
+            self.bytes_of[token["id"] : token["id"] + 1] = [token["content"].encode()]
 
     def _match(self, match: str) -> bytes:
         """Ids of one match of the pattern."""
@@ -154,6 +161,10 @@ class Encoder:
         """Ids of a text with more than single blanks between its words."""
         return b"".join([self._known(m[1:]) if m[0] == " " and m[1:].isalpha() else self._match(m) for m in self.find(text)])
 
+    def _special(self, text: str) -> bytes:
+        """Ids of a text that holds an added token."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+
     def encode(self, texts: pa.Array) -> pa.Array:
         """Ids of each text of a column.
 
@@ -164,6 +175,10 @@ class Encoder:
         rows = len(texts)
         odd = np.array([not w or w[-1].isspace() for w in words.distinct], bool)[words.index]
         whole = np.logical_or.reduceat(odd, words.offsets[:-1])
+        special = np.zeros(rows, bool)
+        for token in self.added:
+            special |= pc.match_substring(pc.fill_null(texts, ""), token).to_numpy(zero_copy_only=False)
+        whole |= special
         index = words.index.copy()
         index[words.offsets[:-1]] = len(words.distinct) + np.arange(rows)
         firsts = []
@@ -171,7 +186,7 @@ class Encoder:
             if whole[i]:
                 index[words.offsets[i] : words.offsets[i + 1]] = len(words.distinct) + rows  # stands for nothing
                 index[words.offsets[i]] = len(words.distinct) + i
-                firsts.append(self._text(text) if text else b"")
+                firsts.append(self._special(text) if special[i] else self._text(text) if text else b"")
             else:
                 firsts.append(b"".join([self._match(m) for m in self.find(words.distinct[at])]))
         get, known = self.words.get, self._known
