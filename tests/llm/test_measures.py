@@ -59,6 +59,16 @@ def test_good_documents_stay(spark):
     assert sum(not r.kept for r in junk) >= len(junk) * 0.2
 
 
+def test_most_junk_goes(spark):
+    folder = "/root/testdata/sf0.1"
+    # the bands' centres were fitted to even ids; their widths were chosen with odd ids in view
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.doc_id % 2}
+    rows = [r for r in queries.op5_fertility(spark, folder).collect() if not r.base_failed and r.doc_id in labels]
+    junk, good = ([r.kept for r in rows if labels[r.doc_id] == q] for q in (0, 1))
+    assert len(junk) > 100 and junk.count(False) >= len(junk) * 0.95
+    assert good.count(False) <= len(good) * 0.005
+
+
 def test_bands(spark):
     english = (
         "Long before the harbour was built, fishermen dragged their boats across the sand and slept beneath them while rain fell. A single lamp "

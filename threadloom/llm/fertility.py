@@ -1,9 +1,9 @@
 """Quality rules from tokeniser fertility.
 
 A public vocabulary with byte fallback cuts every word. Ordinary prose of a language yields a narrow range of
-characters per token; noise, tables and markup yield shorter tokens, foreign scripts fall back to bytes, and repeated
-text has a low token entropy. Each language has a band (scripts have one for other languages); a text outside it is
-rejected. One narrow pass: words seen before are looked up, texts are handled in blocks of a few MB.
+characters per token; noise, tables and markup yield shorter tokens and many without letters, foreign scripts fall back
+to bytes, and repeated or random text has a low token entropy for its length. Each language has a band (scripts have one
+for other languages); a text outside it is rejected. One narrow pass: words seen before are looked up, texts are handled in blocks of a few MB.
 
 Null and empty texts have zero words, symbols, lines and tokens, and are rejected. Repeated rows get equal results;
 empty tables give empty tables. Output columns replace input columns of the same name.
@@ -27,7 +27,7 @@ _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 MEASURES = (
     "n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,n_tokens:bigint,"
-    "chars_per_token:double,fallback_share:double,token_entropy:double,script:string"
+    "chars_per_token:double,fallback_share:double,token_entropy:double,script:string,bare_share:double"
 )
 # first code points of script blocks; a block lasts until the next one
 _SCRIPTS = [
@@ -39,18 +39,32 @@ _SCRIPTS = [
 
 @dataclass(frozen=True)
 class Band:
-    """Limits of a language or script. Short texts scatter: ``slack / sqrt(words)`` widens the lower limit."""
+    """Limits of a language or script.
+
+    Short texts scatter: ``slack / sqrt(words)`` widens both limits of the characters per token, ``bare_slack /
+    sqrt(words)`` that of the share of tokens without letters. A short text cannot have many different tokens: the
+    least entropy is ``entropy_drop / sqrt(tokens)`` lower.
+    """
 
     chars_per_token: float
     slack: float = 0.0
     most_chars_per_token: float = 9.0
     fallback_share: float = 0.2
     token_entropy: float = 4.5
+    entropy_drop: float = 0.0
+    bare_share: float = 1.0
+    bare_slack: float = 0.0
+
+
+def _fitted(centre: float, entropy: float, drop: float, bare: float) -> Band:
+    """The band around a language's centres."""
+    return Band(centre, 4.0, centre, token_entropy=entropy - 0.4, entropy_drop=drop, bare_share=bare, bare_slack=2.5)
 
 
-#: Centres are medians over the test corpus' rows labelled good; a slack of 4 keeps all of those (their least is -3.1).
+#: Fitted to the rows of even id that sf0.1 labels good (154 to 951 a language): medians, and the entropy's least squares.
 BANDS = {
-    "de": Band(2.236, 4.0), "en": Band(2.218, 4.0), "es": Band(1.94, 4.0), "fr": Band(1.979, 4.0),
+    "de": _fitted(2.245, 6.949, 12.3, 0.0584), "en": _fitted(2.219, 7.205, 14.89, 0.0639),
+    "es": _fitted(1.942, 7.056, 13.93, 0.0535), "fr": _fitted(1.978, 6.865, 11.67, 0.0586),
     "latin": Band(1.0), "greek": Band(0.6, fallback_share=0.6), "cyrillic": Band(0.9),
     "hebrew": Band(0.6, fallback_share=0.6), "arabic": Band(0.6, fallback_share=0.6),
     "devanagari": Band(0.5, fallback_share=0.7), "cjk": Band(0.3, fallback_share=0.8), "other": Band(0.2, fallback_share=1.0),
@@ -65,6 +79,9 @@ class Meter:
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.fallback = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        # the sign of a word's start alone is no token without letters
+        self.bare = np.array([p != "\u2581" and not any(c.isalpha() for c in p) for p in pieces]) & ~self.fallback
         self.words: dict[str, bytes] = {}
 
     def _ids(self, words: list[str]) -> list[bytes]:
@@ -96,6 +113,7 @@ class Meter:
         return (
             len(codes), chars, symbols, len(lines) - len(set(lines)), repeated_words(codes), len(ids), chars / len(ids) if len(ids) else 0.0,
             float(self.fallback[ids].mean()) if len(ids) else 0.0, float(-(share * np.log2(share)).sum()) + 0.0, script(text),
+            float(self.bare[ids].mean()) if len(ids) else 0.0,
         )
 
 
@@ -141,7 +159,7 @@ def measure_column(text: Column | str, model: bytes) -> Column:
         for block in blocks(texts, 2_000_000):
             out += meter.measure(block)
         names = [f.split(":")[0] for f in MEASURES.split(",")]
-        kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.string()]
+        kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.string(), pa.float64()]
         columns = [pa.array([row[k] for row in out], kind) for k, kind in enumerate(kinds)]
         return pa.StructArray.from_arrays(columns, names)
 
@@ -159,10 +177,13 @@ def in_band(measure: Column, lang: Column, bands: dict[str, Band]) -> Column:
     ])
     known = lang.isNotNull() & lang.isin(list(bands))
     band = F.element_at(limits, F.when(known, lang).otherwise(measure["script"]))
+    words, tokens = (F.sqrt(F.greatest(measure[n], F.lit(1))) for n in ("n_words", "n_tokens"))
     fits = (
-        (measure["chars_per_token"] >= band["chars_per_token"] - band["slack"] / F.sqrt(F.greatest(measure["n_words"], F.lit(1))))
-        & (measure["chars_per_token"] <= band["most_chars_per_token"])
-        & (measure["fallback_share"] <= band["fallback_share"]) & (measure["token_entropy"] >= band["token_entropy"])
+        (measure["chars_per_token"] >= band["chars_per_token"] - band["slack"] / words)
+        & (measure["chars_per_token"] <= band["most_chars_per_token"] + band["slack"] / words)
+        & (measure["fallback_share"] <= band["fallback_share"])
+        & (measure["token_entropy"] >= band["token_entropy"] - band["entropy_drop"] / tokens)
+        & (measure["bare_share"] <= band["bare_share"] + band["bare_slack"] / words)
     )
     return F.coalesce(fits, F.lit(False))
 
