@@ -1,10 +1,10 @@
-"""Removal of byte strings that repeat anywhere, by prefix doubling over sorted suffix ranks.
+"""Removal of byte strings that repeat anywhere, by counting fingerprints at window minima in place of sorted suffix ranks.
 
 Every byte covered by a string of ``length`` bytes that starts at another place too is removed; all occurrences go.
 
 Ranking the suffix at every byte would shuffle more than a hundred times the input. Two equal strings share the place
 of their least 16-byte hash (the leftmost, within the first ``window`` starts), so only suffixes at such minima, about
-one in 85 bytes, are ranked; every start i belongs to the minimum of its string. Ranks then grow by doubling, and
+one in 85 bytes, are ranked; every start i belongs to the minimum of its string. Ranks then cover more in fixed steps, and
 suffixes drop out as soon as they are unique:
 
 1. rank by the first ``length - window`` bytes from the minimum, which every string of it covers;
