@@ -39,3 +39,12 @@ def test_chains_link_record_to_record(spark):
 def test_chain_plans_grow_with_the_stages(spark):
     scans = lambda n: chain(spark, n)._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 20")
     assert [scans(n) for n in (1, 3, 6)] == [2, 4, 7]
+
+
+def test_chains_of_unknown_type_stay(spark):
+    base = chain(spark, 0).where("evidence_id < 2").withColumn("mime_type", F.lit(None).cast("string"))
+    results = spark.createDataFrame([(0, "h0"), (1, "h1"), (7, "without a first record")], "evidence_id long, hash string")
+    got = cu.add_stages(base, [("next", results, F.timestamp_seconds(F.lit(1704067300)))]).collect()
+    assert sorted((r.evidence_id, r.seq, r.stage, r.mime_type) for r in got) == [
+        (0, 0, "original", None), (0, 1, "next", None), (1, 0, "original", None), (1, 1, "next", None),
+    ]

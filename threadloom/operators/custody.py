@@ -60,7 +60,8 @@ def add_stages(base: DataFrame, stages: Sequence[tuple[str, DataFrame, Column]],
         "evidence_id", (F.row_number().over(order) - 1).alias("seq"), "stage", "hash",
         F.when(added, F.lag("hash").over(order)).otherwise(F.col("input_hash")).alias("input_hash"),
         "ts", "operator", first("mime_type").alias("mime_type"), first("size_bytes").alias("size_bytes"),
-    ).where("mime_type is not null")
+        F.min("__stage").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__least"),
+    ).where("__least = 0").drop("__least")
 
 
 def chain_links(chain: DataFrame, block: int = 10_000) -> DataFrame:
