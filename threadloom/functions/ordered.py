@@ -19,6 +19,14 @@ def _with_bucket(df: DataFrame, bucket: Column) -> DataFrame:
     return df.withColumn(_BUCKET, bucket)
 
 
+def _joined(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the summary of their key and bucket; a null key is a key like others."""
+    own = [*keys, _BUCKET]
+    right = summary.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(own)], *[c for c in summary.columns if c not in own])
+    same = [F.col(k).eqNullSafe(F.col(f"__r{i}")) for i, k in enumerate(own)]
+    return rows.join(right, same).drop(*[f"__r{i}" for i in range(len(own))])
+
+
 def _neighbour(
     df: DataFrame,
     keys: Sequence[str],
@@ -37,7 +45,7 @@ def _neighbour(
         .agg(edge(packed, F.struct(*order)).alias("__edge"))
         .select(*keys, _BUCKET, shift("__edge").over(across).alias("__carry"))
     )
-    joined = rows.withColumn("__near", shift(packed).over(inside)).join(edges, [*keys, _BUCKET])
+    joined = _joined(rows.withColumn("__near", shift(packed).over(inside)), edges, keys)
     picked = {
         new: F.when(F.col("__near").isNotNull(), F.col("__near")[new]).otherwise(
             F.col("__carry")[new]
@@ -86,7 +94,7 @@ def running_sums(
         *[F.coalesce(F.sum(f"__total_{n}").over(before), F.lit(0)).alias(f"__off_{n}") for n in sums],
     )
     out = rows.withColumns({n: F.sum(f"__{n}").over(inside) for n in sums})
-    out = out.join(offsets, [*keys, _BUCKET])
+    out = _joined(out, offsets, keys)
     out = out.withColumns({n: F.col(n) + F.col(f"__off_{n}") for n in sums})
     return out.drop(_BUCKET, *[f"__{n}" for n in sums], *[f"__off_{n}" for n in sums])
 

@@ -115,7 +115,8 @@ def cluster_id(platform: Column, ts: Column, topic: Column, seq: Column) -> Colu
         platform_code(platform),
         F.date_format(ts, "yyMM"),
         F.rpad(F.substring(F.upper(topic), 1, 6), 6, "X"),
-        F.lpad(seq.cast("string"), 3, "0"),
+        # padded, never cut
+        F.when(seq < 1000, F.lpad(seq.cast("string"), 3, "0")).otherwise(seq.cast("string")),
     )
 
 
@@ -194,6 +195,22 @@ def unify_newlines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
+#: Characters with a meaning in HTML and their names; the ampersand goes first when written, last when read.
+HTML_NAMES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
+
+
+def escape_html(text: Column) -> Column:
+    for sign, name in HTML_NAMES:
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
+def unescape_html(html: Column) -> Column:
+    for sign, name in reversed(HTML_NAMES):
+        html = F.replace(html, F.lit(name), F.lit(sign))
+    return html
+
+
 def strip_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(html, r"<[^>]+>", ""))
 

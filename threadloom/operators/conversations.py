@@ -33,8 +33,8 @@ def segment_messages(
     """Conversation numbers per key in time order.
 
     A conversation starts at the first message, after a pause longer than ``gap_seconds``, when
-    the similarity to the previous message drops below ``min_similarity``, or when the topic
-    changes. ``reason`` is NULL on continuing rows (``compat`` repeats 'first_message'), and
+    the similarity to the previous message drops below ``min_similarity`` (reason topic_change), or
+    when the topic differs (entity_change). ``reason`` is NULL on continuing rows (``compat`` repeats 'first_message'), and
     ``similarity`` is 1 where it was not needed.
     """
     bucket = _day(ts) if bucket is None else bucket
@@ -52,8 +52,8 @@ def segment_messages(
     reason = (
         F.when(first, "first_message")
         .when(late, "time_gap")
-        .when(apart, "entity_change")
-        .when(moved, "topic_change")
+        .when(apart, "topic_change")
+        .when(moved, "entity_change")
     )
     rows = rows.withColumn("__r", reason).withColumn("is_new", F.col("__r").isNotNull())
     shown = F.coalesce("__r", F.lit("first_message")) if compat else F.col("__r")

@@ -17,6 +17,7 @@ from threadloom.session import scratch_path
 from threadloom.sinks import writers as wr
 from threadloom.sources import readers as rd
 from threadloom.streaming import jobs as sj
+from threadloom.streaming import segments as sg
 
 _FMT = "yyyy-MM-dd HH:mm:ss"
 
@@ -112,11 +113,11 @@ def _(t):
 
 
 @query("chat_html_messages", "SRC-04 TX-12", f"""with {MESSAGES_CTE} select message_id as doc_id, 0 as position, sender, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text, strftime(ts, '%Y-%m-%d %H:%M:00') as ts, 'th' || conv_id as thread_id,
- case when turn % 3 = 0 then 'photo' else 'text' end as message_type, turn::int % 2 as n_reactions from messages where trim(text) <> '' and not contains(text, '<')""")
+ case when turn % 3 = 0 then 'photo' else 'text' end as message_type, turn::int % 2 as n_reactions from messages where trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''""")
 def _(t):
-    m = messages(t).where("not contains(text, '<')")
+    m = messages(t)
     html = F.concat(
-        F.lit('<div class="pam _3-95 _2pi0" data-thread-id="th'), "conv_id", F.lit('"><div class="x actor">'), "sender", F.lit('</div><div class="msg">'), F.trim(_flat()),
+        F.lit('<div class="pam _3-95 _2pi0" data-thread-id="th'), "conv_id", F.lit('"><div class="x actor">'), "sender", F.lit('</div><div class="msg">'), tx.escape_html(F.trim(_flat())),
         F.lit('</div><div data-testid="messenger_timestamp">'), F.date_format("ts", "EEEE, MMMM d, yyyy"), F.lit(" at "), F.date_format("ts", "h:mm a"), F.lit("</div>"),
         F.when(F.col("turn") % 3 == 0, '<img data-testid="photo">').otherwise(""), F.when(F.col("turn") % 2 == 1, '<span data-testid="reaction">x</span>').otherwise(""), F.lit("</div>"))
     out = rd.parse_chat_html(m.select(F.col("message_id").alias("doc_id"), html.alias("html")))
@@ -130,24 +131,41 @@ def _(t):
     return rd.parse_html_messages(t.pages).withColumn("body_md5", F.md5("body")).drop("body")
 
 
-_TALK = f"""with {MESSAGES_CTE}, d as (select message_id as doc_id, sender, text from messages where not regexp_matches(text, '[:\\-]') and trim(text) <> ''),
-l as (select doc_id, sender, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ls from d)"""
+# The twins state the header rules: a line of one of these shapes opens a message, every other line continues it.
+_ONE, _TWO = r"^(.+?)\s*\[(.+?)\]:\s*(.+)$", r"^(.+?)\s*-\s*(.+?):\s*(.+)$"
+_LOG_LINE = r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\]\s*([^:]+):\s*(.*)$"
+
+
+def _line_cte(first, second):
+    return f"""with {MESSAGES_CTE}, d as (select message_id as doc_id, string_split({first} || text || chr(10) || {second}, chr(10)) as ls from messages),
+l as (select doc_id, unnest(ls) as line, unnest(generate_series(1, len(ls))) as k from d)"""
 
 
 def _talks(t, first, second):
-    m = messages(t).where(~F.col("text").rlike(r"[:\-]") & (F.trim("text") != ""))
-    return m.select(F.col("message_id").alias("doc_id"), F.concat(*first, "text", F.lit("\n"), *second).alias("text"))
+    return messages(t).select(F.col("message_id").alias("doc_id"), F.concat(*first, "text", F.lit("\n"), *second).alias("text"))
 
 
-@query("transcript_messages", "SRC-06", f"""{_TALK} select doc_id, 1 as message_no, sender, array_to_string(ls, ' ') as text, '2024-01-02 03:04:05' as ts, false as is_from_me from l
-union all select doc_id, 2, 'Me', 'ok then', '2024-01-02 03:05:00', true from l""")
+@query("transcript_messages", "SRC-06", f"""{_line_cte("sender || ' [2024-01-02 03:04:05]: '", "'2024/01/02 03:05 - Me: ok then'")},
+h as (select *, case when regexp_matches(line, '{_ONE}') then 1 when regexp_matches(line, '{_TWO}') then 2 else 0 end as shape from l),
+n as (select *, sum((shape > 0)::int) over (partition by doc_id order by k) as message_no,
+ case shape when 1 then trim(regexp_extract(line, '{_ONE}', 3)) when 2 then trim(regexp_extract(line, '{_TWO}', 3)) else trim(line) end as body,
+ case shape when 1 then trim(regexp_extract(line, '{_ONE}', 1)) when 2 then trim(regexp_extract(line, '{_TWO}', 2)) end as sender,
+ case shape when 1 then trim(regexp_extract(line, '{_ONE}', 2)) when 2 then trim(regexp_extract(line, '{_TWO}', 1)) end as stamp from h)
+select doc_id, message_no::int as message_no, max(sender) as sender, string_agg(body, ' ' order by k) as text,
+ case max(stamp) when '2024-01-02 03:04:05' then '2024-01-02 03:04:05' when '2024/01/02 03:05' then '2024-01-02 03:05:00' end as ts, lower(max(sender)) = 'me' as is_from_me
+from n where message_no > 0 and (shape > 0 or trim(line) <> '') group by 1, 2""")
 def _(t):
     docs = _talks(t, ["sender", F.lit(" [2024-01-02 03:04:05]: ")], [F.lit("2024/01/02 03:05 - Me: ok then")])
     out = rd.parse_transcript(docs)
     return out.select("doc_id", F.col("message_no").cast("int").alias("message_no"), "sender", "text", F.date_format("ts", _FMT).alias("ts"), "is_from_me")
 
 
-@query("log_messages", "SRC-07", f"""{_TALK} select doc_id, 1 as message_no, sender, array_to_string(ls, chr(10)) as text, '2024-01-02 03:04:05' as ts from l union all select doc_id, 2, 'Me', 'ok', '2024-01-02 03:05:00' from l""")
+@query("log_messages", "SRC-07", f"""{_line_cte("'[2024-01-02 03:04:05] ' || sender || ': '", "'[2024-01-02 03:05:00] Me: ok'")},
+h as (select *, regexp_matches(line, '{_LOG_LINE}') as head from l),
+n as (select *, sum(head::int) over (partition by doc_id order by k) as message_no, case when head then regexp_extract(line, '{_LOG_LINE}', 3) else trim(line) end as body,
+ case when head then trim(regexp_extract(line, '{_LOG_LINE}', 2)) end as sender, case when head then regexp_extract(line, '{_LOG_LINE}', 1) end as stamp from h)
+select doc_id, message_no::int as message_no, max(sender) as sender, string_agg(body, chr(10) order by k) as text, max(stamp) as ts from n
+where message_no > 0 and (head or trim(line) <> '') group by 1, 2""")
 def _(t):
     docs = _talks(t, [F.lit("[2024-01-02 03:04:05] "), "sender", F.lit(": ")], [F.lit("[2024-01-02 03:05:00] Me: ok")])
     out = rd.parse_log(docs)
@@ -282,37 +300,42 @@ def _(t):
     return out.select("event_id", "level", "category")
 
 
+def _end(t):
+    """A time that closes all windows, sessions and waiting rows of the event stream."""
+    return F.lit(t.events.agg(F.max("ts")).first()[0]) + F.expr("interval 100 hours")
+
+
 @query("stream_hourly", "ST-04", f"""with {CALLS_CTE} select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, count(*) as calls, count(*) filter (success) as successes, round(sum(duration), 4) as total_duration from calls group by 1""")
 def _(t):
-    # complete mode through foreachBatch, so that the hours still open at the end are included
-    path = scratch_path(t.spark, "stream-hourly")
-    sj.run_batches(sj.hourly_stats(_events(t)), "stream-hourly", lambda df, _n: df.write.mode("overwrite").parquet(path), "complete")
-    return t.spark.read.parquet(path).select(F.date_format("hour", _FMT).alias("hour"), "calls", "successes", F.round("total_duration", 4).alias("total_duration"))
+    out = sj.run_closed(_events(t), sj.hourly_stats, "stream-hourly", _end(t))
+    return out.select(F.date_format("hour", _FMT).alias("hour"), "calls", "successes", F.round("total_duration", 4).alias("total_duration"))
 
 
 @query("stream_metrics", "ST-03", """with w as (select time_bucket(interval 20 seconds, ts) - to_seconds(20 * k) as st, value, event_type from events, range(3) r(k))
 select strftime(st, '%Y-%m-%d %H:%M:%S') as start, count(*) as requests, round(count(*) / 60.0, 6) as rate, round(avg((event_type = 'error')::int), 6) as error_rate from w group by 1""")
 def _(t):
-    path = scratch_path(t.spark, "stream-metrics")
-    sj.run_batches(sj.sliding_metrics(_events(t), "60 seconds", "20 seconds"), "stream-metrics", lambda df, _n: df.write.mode("overwrite").parquet(path), "complete")
-    out = t.spark.read.parquet(path)
+    out = sj.run_closed(_events(t), lambda s: sj.sliding_metrics(s, "60 seconds", "20 seconds"), "stream-metrics", _end(t))
     return out.select(F.date_format("start", _FMT).alias("start"), "requests", F.round("rate", 6).alias("rate"), F.round("error_rate", 6).alias("error_rate"))
 
 
 @query("stream_sessions", "ST-05", """with l as (select *, lag(ts) over (partition by user_id order by ts, event_id) as p from events), s as (select *, sum((p is null or ts >= p + interval 2 hours)::int) over (partition by user_id order by ts, event_id) as g from l)
 select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start_ts, count(*) as message_count from s group by user_id, g""")
 def _(t):
-    path = scratch_path(t.spark, "stream-sessions")
-    sj.run_batches(sj.sessions(_events(t), "user_id"), "stream-sessions", lambda df, _n: df.write.mode("overwrite").parquet(path), "complete")
-    return t.spark.read.parquet(path).select("user_id", F.date_format("start_ts", _FMT).alias("start_ts"), "message_count")
+    out = sj.run_closed(_events(t), lambda s: sj.sessions(s, "user_id"), "stream-sessions", _end(t))
+    return out.select("user_id", F.date_format("start_ts", _FMT).alias("start_ts"), "message_count")
 
 
-@query("stream_segments", "ST-06", """with l as (select *, lag(ts) over w as p, lag(event_type) over w as pt from events window w as (partition by user_id order by ts, event_id)),
-r as (select *, case when p is null then 'first_message' when epoch_us(ts) - epoch_us(p) > 7200000000 then 'time_gap' when event_type <> pt then 'topic_change' end as reason from l)
-select user_id::varchar as platform, event_id as message_id, sum((reason is not null)::int) over (partition by user_id order by ts, event_id)::bigint as segment_no, reason from r""")
+@query("stream_segments", "ST-06 WN-01", """with m as (select user_id::varchar as platform, event_id as message_id, ts, event_type as topic, [value, 20.0, (event_id % 7) * 10.0] as e from events),
+l as (select *, lag(ts) over w as p, lag(topic) over w as pt, lag(e) over w as pe from m window w as (partition by platform order by ts, message_id)),
+d as (select *, case when p is null or epoch_us(ts) - epoch_us(p) > 7200000000 then 1.0 else list_cosine_similarity(e, pe) end as sim from l),
+r as (select *, case when p is null then 'first_message' when epoch_us(ts) - epoch_us(p) > 7200000000 then 'time_gap' when sim < 0.6 then 'topic_change' when topic <> pt then 'entity_change' end as reason from d)
+select platform, message_id, sum((reason is not null)::int) over (partition by platform order by ts, message_id)::bigint as segment_no, reason is not null as is_new, reason, round(sim, 6) as similarity from r""")
 def _(t):
-    stream = _events(t).select(F.col("user_id").cast("string").alias("platform"), F.col("event_id").alias("message_id"), "ts", F.col("event_type").alias("topic"))
-    return sj.run_to_table(sj.segment_stream(stream), "stream-segments")
+    stream = _events(t).select(F.col("user_id").cast("string").alias("platform"), F.col("event_id").alias("message_id"), "ts", F.col("event_type").alias("topic"),
+                               F.array("duration", F.lit(20.0), (F.col("event_id") % 7) * 10.0).alias("embedding"))
+    with sg.keyed_state(t.spark):
+        out = sj.run_closed(stream, lambda s: sg.segment_stream(s, least_similarity=0.6), "stream-segments", _end(t))
+    return out.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("stream_averages", "ST-10", f"""with {CALLS_CTE}, o as (select provider, success, duration, row_number() over w as i, count(*) over (partition by provider) as n, count(*) filter (success and duration > 0) over w as j, count(*) filter (success and duration > 0) over (partition by provider) as m from calls window w as (partition by provider order by ts, event_id))
@@ -328,8 +351,9 @@ def _(t):
 @query("stream_recent", "ST-07", "select event_id, event_type from events order by ts desc, event_id desc limit 1000")
 def _(t):
     path = scratch_path(t.spark, "stream-recent")
-    sj.run_batches(_events(t), "stream-recent", sj.append_batches(path))
-    return st.newest(t.spark.read.parquet(path), [F.desc("ts"), F.desc("event_id")], 1000).select("event_id", "event_type")
+    newest = [F.desc("ts"), F.desc("event_id")]
+    sj.run_batches(_events(t), "stream-recent", sj.newest_batches(path, newest, 1000))
+    return sj.latest_version(t.spark, path).select("event_id", "event_type")
 
 
 @query("stream_dedup", "ST-08 ST-09", "select count(*) as n, count(*) as n_hashes from (select distinct text from documents)")

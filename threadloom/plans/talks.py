@@ -21,7 +21,7 @@ def _stream(t):
 
 _SEG = """m as (select event_id as message_id, user_id::varchar as platform, ts, event_type as topic, value from events),
 l as (select *, lag(ts) over w as pts, lag(topic) over w as pt from m window w as (partition by platform order by ts, message_id)),
-r as (select *, case when pts is null then 'first_message' when epoch_us(ts) - epoch_us(pts) > 7200000000 then 'time_gap' when topic <> pt then 'topic_change' end as reason from l),
+r as (select *, case when pts is null then 'first_message' when epoch_us(ts) - epoch_us(pts) > 7200000000 then 'time_gap' when topic <> pt then 'entity_change' end as reason from l),
 s as (select *, reason is not null as is_new, sum((reason is not null)::int) over (partition by platform order by ts, message_id)::bigint as segment_no from r)"""
 
 
@@ -40,7 +40,7 @@ def _(t):
 @query("cluster_ids", "WN-03 TX-17", f"""with {_SEG}, c as (select platform, segment_no, min(ts) as st, arg_min(topic, ts) as topic from s group by all),
 n as (select *, row_number() over (partition by substring(platform, 1, 4), strftime(st, '%y%m') order by st, platform, segment_no) as seq from c)
 select platform, segment_no, upper(substring(platform, 1, 4)) || '_' || strftime(st, '%y%m') || '_' || rpad(substring(upper(topic), 1, 6), 6, 'X') || '_' ||
- case when length(seq::varchar) >= 3 then substring(seq::varchar, 1, 3) else lpad(seq::varchar, 3, '0') end as cluster_id from n""")
+ repeat('0', greatest(3 - length(seq::varchar), 0)) || seq as cluster_id from n""")
 def _(t):
     c = cv.cluster_summary(cv.segment_messages(_stream(t), ["platform"]), ["platform"])
     return cv.number_clusters(c, "platform").select("platform", "segment_no", "cluster_id")
@@ -55,7 +55,7 @@ def _(t):
 @query("vector_segments", "WN-01 WN-02 WN-08", """with m as (select vec_id, label, embedding, timestamp '2024-01-01' + to_seconds(vec_id * 60) as ts from embeddings),
 l as (select *, lag(embedding) over w as pe from m window w as (partition by label order by vec_id)),
 r as (select *, case when pe is null then 1.0 else list_cosine_similarity(embedding::double[], pe::double[]) end as sim from l),
-q as (select *, case when pe is null then 'first_message' when sim < 0.6 then 'entity_change' end as reason from r)
+q as (select *, case when pe is null then 'first_message' when sim < 0.6 then 'topic_change' end as reason from r)
 select vec_id as message_id, label, round(sim, 6) as similarity, reason, sum((reason is not null)::int) over (partition by label order by vec_id)::bigint as segment_no from q
 where true""")
 def _(t):
@@ -65,6 +65,17 @@ def _(t):
     return s.select("message_id", "label", F.round("similarity", 6).alias("similarity"), "reason", "segment_no")
 
 
+@query("close_segments", "WN-08 WN-02", """with m as (select event_id as message_id, user_id, ts, [value, 20.0, (event_id % 7) * 10.0] as e from events),
+l as (select *, lag(ts) over w as p, lag(e) over w as pe from m window w as (partition by user_id order by ts, message_id)),
+d as (select *, case when p is null or epoch_us(ts) - epoch_us(p) > 14400000000 then 1.0 else list_cosine_similarity(e, pe) end as sim from l),
+r as (select *, case when p is null then 'first_message' when epoch_us(ts) - epoch_us(p) > 14400000000 then 'time_gap' when sim < 0.85 then 'topic_change' end as reason from d)
+select message_id, user_id, round(sim, 6) as similarity, reason, sum((reason is not null)::int) over (partition by user_id order by ts, message_id)::bigint as segment_no from r""")
+def _(t):
+    m = t.events.select(F.col("event_id").alias("message_id"), "user_id", "ts", F.array("value", F.lit(20.0), (F.col("event_id") % 7) * 10.0).alias("e"))
+    s = cv.segment_messages(m, ["user_id"], topic=None, embedding="e", gap_seconds=4 * 3600, min_similarity=0.85)
+    return s.select("message_id", "user_id", F.round("similarity", 6).alias("similarity"), "reason", "segment_no")
+
+
 @query("turn_links", "WN-04 WN-05", f"""with {MESSAGES_CTE} select message_id, lag(message_id) over w as prev_id, lead(message_id) over w as next_id,
  epoch(ts)::bigint - epoch(lag(ts) over w)::bigint as seconds_since_prev, row_number() over w as serial_number from messages window w as (partition by conv_id order by turn)""")
 def _(t):

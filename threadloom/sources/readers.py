@@ -190,7 +190,7 @@ def detect_platform(head: Column) -> Column:
 def _element(block: Column, *marks: str) -> Column:
     """Stripped text of the first element carrying one of the attribute marks."""
     found = [
-        F.nullif(tx.strip_tags(F.regexp_extract(block, rf"<[a-z]+[^>]*{m}[^>]*>([\s\S]*?)</", 1)), F.lit(""))
+        F.nullif(tx.unescape_html(tx.strip_tags(F.regexp_extract(block, rf"<[a-z]+[^>]*{m}[^>]*>([\s\S]*?)</", 1))), F.lit(""))
         for m in marks
     ]
     return F.coalesce(*found)

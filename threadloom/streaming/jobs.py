@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructField, StructType
 
 from threadloom.operators.tables import upsert
 from threadloom.session import scratch_path
@@ -53,6 +54,40 @@ def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], N
     query.awaitTermination()
 
 
+class Clock:
+    """A second source that only moves the watermark: ``strike`` adds a row at a time, the rest of the row is null.
+
+    A finished stream leaves its last windows, sessions and waiting rows open. ``run_closed`` runs it, strikes the clock
+    past its end and runs it on from its checkpoint, so append mode ends with everything that was read.
+    """
+
+    def __init__(self, spark: SparkSession, schema, ts: str = "ts"):
+        self.spark, self.ts, self.path = spark, ts, scratch_path(spark, "clock")
+        # a struck row is of no key, so every column may be null
+        self.schema = StructType([StructField(f.name, f.dataType, True) for f in schema])
+        spark.createDataFrame([], self.schema).write.parquet(self.path)
+
+    def strike(self, at: Column) -> None:
+        row = self.spark.range(1).select(*[(at if f.name == self.ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema])
+        row.write.mode("append").parquet(self.path)
+
+    def joined(self, stream: DataFrame) -> DataFrame:
+        return stream.unionByName(file_stream(self.spark, self.path, self.schema))
+
+
+def run_closed(stream: DataFrame, job: Callable[[DataFrame], DataFrame], name: str, last: Column, ts: str = "ts") -> DataFrame:
+    """The job's rows in append mode over all of the stream, with everything closed that ends before ``last``.
+
+    Rows of the clock itself stay open: ``last`` lies a watermark delay past the end of the stream.
+    """
+    spark = stream.sparkSession
+    clock = Clock(spark, stream.schema, ts)
+    path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    run_to_table(job(clock.joined(stream)), name, path=path, checkpoint=checkpoint)
+    clock.strike(last)
+    return run_to_table(job(clock.joined(stream)), name, path=path, checkpoint=checkpoint)
+
+
 def event_time(stream: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Watermarked stream; a time without zone is read as UTC because watermarks need an instant."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
@@ -137,11 +172,20 @@ def latest_version(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v={versions(spark, path)[-1]}")
 
 
-def append_batches(path: str) -> Callable[[DataFrame, int], None]:
-    """Append sink of a recent-entries table; a replayed batch overwrites its own folder."""
+def newest_batches(path: str, order: Sequence[Column], n: int) -> Callable[[DataFrame, int], None]:
+    """Sink of a bounded buffer: version ``k`` holds the newest ``n`` rows up to batch ``k``.
+
+    A replayed batch rewrites its version from the one before it; older versions go.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        before = [v for v in versions(spark, path) if v < batch_id]
+        rows = spark.read.schema(batch.schema).parquet(f"{path}/v={before[-1]}").unionByName(batch) if before else batch
+        rows.orderBy(*order).limit(n).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        for old in before[:-1]:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={old}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return write
 
@@ -159,45 +203,6 @@ def _expire_later(state: GroupState, last_ms: int) -> None:
     state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + STATE_TTL_MS)
 
 
-def segment_stream(stream: DataFrame, gap_seconds: int = 7200, delay: str = "72 hours") -> DataFrame:
-    """Conversation segments of a stream with ``platform, message_id, ts, topic``, in arrival batches.
-
-    State per key is one row (last time, topic, segment number) that expires after the TTL.
-    """
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches)).sort_values(["us", "message_id"])
-        last, topic, seq = state.get if state.exists else (None, None, 0)
-        rows = []
-        for us, mid, subject in zip(pdf["us"], pdf["message_id"], pdf["topic"]):
-            if last is None:
-                reason = "first_message"
-            elif us - last > gap_seconds * 1_000_000:
-                reason = "time_gap"
-            elif subject != topic:
-                reason = "topic_change"
-            else:
-                reason = None
-            seq += reason is not None
-            rows.append((key[0], mid, seq, reason))
-            last, topic = int(us), subject
-        state.update((last, topic, seq))
-        _expire_later(state, last // 1000)
-        yield pd.DataFrame(rows, columns=["platform", "message_id", "segment_no", "reason"])
-
-    timed = event_time(stream, "ts", delay).withColumn("us", F.unix_micros("ts"))
-    return timed.groupBy("platform").applyInPandasWithState(
-        step,
-        "platform string, message_id long, segment_no long, reason string",
-        "last long, topic string, seq long",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-
-
 def averages_stream(stream: DataFrame, alpha: float = 0.1, delay: str = "72 hours") -> DataFrame:
     """Running averages per provider after every batch (``provider, event_id, ts, success, duration``)."""
 
