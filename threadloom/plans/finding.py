@@ -11,8 +11,11 @@ from threadloom.operators import patterns as pm
 from threadloom.operators import retrieval as rt
 from threadloom.operators import search as sr
 from threadloom.operators import tables as tb
+from threadloom.operators import text_index as ti
+from threadloom.operators import vector_index as vi
 from threadloom.plans.catalog import query
 from threadloom.plans.shared import messages
+from threadloom.session import scratch_path
 
 
 def _queries(t, cond):
@@ -29,9 +32,18 @@ def _(t):
 
 
 @query("vector_topk", "VS-02 UD-04", f"""select query_id, vec_id, round(s, 6) as similarity, rank from (select *, row_number() over (partition by query_id order by s desc, vec_id) as rank from
- (select a.vec_id as query_id, b.vec_id, {_SIM} as s from embeddings a, embeddings b where a.vec_id % 25 = 0 and b.label <> 3) where s > 0.05) where rank <= 10""")
+ (select a.vec_id as query_id, b.vec_id, {_SIM} as s from embeddings a, embeddings b where a.vec_id % 20 = 0 and b.label <> 3) where s > 0.05) where rank <= 10""")
 def _(t):
-    out = sr.top_matches(t.embeddings.where("label <> 3"), _queries(t, "vec_id % 25 = 0"), 10, 0.05)
+    out = sr.top_matches(t.embeddings.where("label <> 3"), _queries(t, "vec_id % 20 = 0"), 10, 0.05)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("indexed_vectors", "VS-02 VS-03", f"""select query_id, vec_id, round(s, 6) as similarity, rank from (select *, row_number() over (partition by query_id order by s desc, vec_id)::int as rank from
+ (select a.vec_id as query_id, b.vec_id, {_SIM} as s from embeddings a, embeddings b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id and b.label <> 3)) where rank <= 10""")
+def _(t):
+    path = scratch_path(t.spark, "vector-index")
+    vi.write_index(t.embeddings, path, cells=64)
+    out = vi.VectorIndex(t.spark, path).search(_queries(t, "vec_id % 20 = 0"), 10, exact=True, exclude_self=True, keep=F.col("label") != 3)
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -193,6 +205,31 @@ def _(t):
     return out.select("doc_id", "passage_no", F.round("score", 6).alias("score"))
 
 
+_ASKED = [(1, _QUERY), (2, "que que the und"), (3, "nicht clown nicht"), (4, "zzzz nowhere"), (5, "of the")]
+
+
+def _bm25_many():
+    """The fixed-frequency scores of several queries at once: terms as rows."""
+    asked = ", ".join(f"({i}, '{w}')" for i, q in _ASKED for w in rt.query_terms(q))
+    return f"""{_PASSAGES}, asked(query_id, term) as (values {asked}),
+w as (select *, len(terms) as dl, count(*) over (partition by doc_id) as np, avg(len(terms)) over (partition by doc_id) as al from pp),
+tf as (select query_id, doc_id, passage_no, any_value(dl) as dl, any_value(np) as np, any_value(al) as al, term, count(*) as tf from
+ (select doc_id, passage_no, dl, np, al, unnest(terms) as term from w) join (select distinct * from asked) using (term) group by query_id, doc_id, passage_no, term),
+times as (select query_id, term, count(*) as times from asked group by all),
+sc as (select query_id, doc_id, passage_no, sum(times * ln((np - greatest(1.0, np * 0.1) + 0.5) / (greatest(1.0, np * 0.1) + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al))) as score
+ from tf join times using (query_id, term) group by all)"""
+
+
+@query("indexed_topk", "RT-02 RT-03", f"""with {_bm25_many()}, b as (select *, row_number() over (partition by query_id, doc_id order by round(score, 9) desc, passage_no) as r from sc where score > 0)
+select query_id, row_number() over (partition by query_id order by round(score, 9) desc, doc_id)::int as rank, doc_id, passage_no, round(score, 6) as score from b where r = 1 qualify rank <= 10""")
+def _(t):
+    path = scratch_path(t.spark, "text-index")
+    ti.write_index(ti.postings(t.documents), path)
+    asked = t.spark.createDataFrame(_ASKED, "query_id int, query string")
+    out, _blocks = ti.TextIndex(t.spark, path).top(asked, 10)
+    return out.withColumn("score", F.round("score", 6))
+
+
 @query("supporting_spans", "RT-04", f"""with {_bm25_sql('fixed')}, r as (select *, row_number() over (partition by doc_id order by round(score, 9) desc, passage_no) as rank from bm where score > 0)
 select doc_id, rank, passage_no, 'cite-' || doc_id || '-' || (rank - 1) as citation, length(text) as n from r where rank <= 3""")
 def _(t):
