@@ -209,29 +209,36 @@ def mention_edges(entities: DataFrame, message_id: str = "message_id") -> DataFr
     return entities.select(entity.alias("src"), F.col(message_id).cast("string").alias("dst"), F.lit("MENTIONED_IN").alias("type")).distinct()
 
 
-def version_lineage(versions: DataFrame, of, max_depth: int = 50) -> DataFrame:
-    """All versions that share the root of one version: up to the root, then all descendants.
+def lineage_roots(versions: DataFrame) -> DataFrame:
+    """(id, root) of every version, root being its topmost ancestor, by pointer doubling.
 
-    ``versions`` has ``id, parent_id, version``. Both walks follow parent links hop by hop.
+    In each round a version looks at the ancestor it knows of and takes over that one's, so 2^n levels take n rounds.
+    Versions that point at a root are done and are not joined again. A parent that is not in the table makes its child a
+    root; versions on a cycle of parents have no root and are left out.
     """
-    links = versions.select("id", "parent_id")
-    current, root = of, of
-    for _ in range(max_depth):
-        row = links.where(F.col("id") == current).select("parent_id").first()
-        if row is None or row[0] is None:
+    known = versions.select(F.col("id").alias("parent_id"), F.lit(True).alias("__there"))
+    rows = versions.select("id", "parent_id").join(known.distinct(), "parent_id", "left")
+    rows = rows.select("id", F.when(F.col("__there"), F.col("parent_id")).otherwise(F.col("id")).alias("up"))
+    rows = cut_lineage(rows.withColumn("done", F.col("up") == F.col("id")))
+    rounds = max(rows.count(), 2).bit_length() + 1
+    for _ in range(rounds):
+        active = rows.where("not done")
+        if active.isEmpty():
             break
-        current = root = row[0]
-    seen = links.where(F.col("id") == root).select("id")
-    frontier = seen
-    for _ in range(max_depth):
-        children = cut_lineage(
-            links.join(broadcast_if_small(frontier.withColumnRenamed("id", "parent_id")), "parent_id").select("id").distinct()
-            .join(seen, "id", "left_anti")
-        )
-        if children.isEmpty():
-            break
-        seen, frontier = seen.unionByName(children), children
-    return versions.join(seen, "id", "left_semi").orderBy(F.desc("version"), "id")
+        above = rows.select(F.col("id").alias("up"), F.col("up").alias("higher"), F.col("done").alias("top"))
+        moved = active.join(above, "up").select("id", F.col("higher").alias("up"), F.col("top").alias("done"))
+        rows = cut_lineage(rows.where("done").unionByName(moved))
+    return rows.where("done").select("id", F.col("up").alias("root"))
+
+
+def version_lineage(versions: DataFrame, of) -> DataFrame:
+    """All versions that share the root of one version, at any depth: the root and all its descendants.
+
+    ``versions`` has ``id, parent_id, version``; ids are not repeated.
+    """
+    roots = cut_lineage(lineage_roots(versions))
+    same = roots.join(roots.where(F.col("id") == of).select("root"), "root", "left_semi")
+    return versions.join(same, "id", "left_semi").orderBy(F.desc("version"), "id")
 
 
 def export_graph(documents: DataFrame, chunks: DataFrame, entities: DataFrame, keywords: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from threadloom import lexicons as lx
 from threadloom.functions import vectors as vec
 from threadloom.functions import textfn as tx
+from threadloom.functions.sql import register_functions
 from threadloom.operators import chunking as ch
 from threadloom.operators import conversations as cv
 from threadloom.operators import patterns as pm
@@ -89,6 +90,45 @@ def _(t):
     return out.select("id1", "id2", F.round("similarity", 6).alias("similarity"))
 
 
+_CHUNKS = """chunks as (select vec_id::varchar as chunk_id, (vec_id // 4)::varchar as document_id, text, (vec_id % 4)::int as chunk_index, 'p' || label as platform, 'case' || vec_id % 3 as case_id, embedding
+ from embeddings left join documents on doc_id = vec_id)"""
+
+
+def _sql(t, statement):
+    """A statement over the table functions, defined for a view of chunks with the embeddings table's vectors."""
+    e = t.embeddings.join(t.documents.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
+    text = lambda c: c.cast("string")
+    chunks = e.select(
+        text(F.col("vec_id")).alias("chunk_id"), text(F.floor(F.col("vec_id") / 4)).alias("document_id"), "text", (F.col("vec_id") % 4).cast("int").alias("chunk_index"),
+        F.concat(F.lit("p"), text(F.col("label"))).alias("platform"), F.concat(F.lit("case"), text(F.col("vec_id") % 3)).alias("case_id"),
+        text(F.col("vec_id")).alias("evidence_id"), "embedding", F.lit(None).cast("timestamp_ntz").alias("created_at"))
+    chunks.createOrReplaceTempView("embedded_chunks")
+    register_functions(t.spark, "embedded_chunks")
+    return t.spark.sql(statement)
+
+
+@query("sql_match_embeddings", "UD-04 VS-02 VS-03", f"""with {_CHUNKS}, s as (select a.chunk_id as query_id, b.chunk_id, b.document_id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s
+ from chunks a, chunks b where a.chunk_index = 0 and a.platform = 'p3' and b.case_id = 'case1')
+select query_id, chunk_id, document_id, round(s, 6) as similarity from s where s > 0.05 qualify row_number() over (partition by query_id order by s desc, chunk_id) <= 4""")
+def _(t):
+    return _sql(t, """SELECT q.chunk_id AS query_id, m.chunk_id, m.document_id, round(m.similarity, 6) AS similarity
+        FROM embedded_chunks q, LATERAL match_embeddings(CAST(q.embedding AS ARRAY<DOUBLE>), 0.05D, 4, filter_case_id => 'case1') m
+        WHERE q.chunk_index = 0 AND q.platform = 'p3'""")
+
+
+@query("sql_document_embeddings", "UD-04 VS-09", f"with {_CHUNKS} select document_id, chunk_id, chunk_index, md5(text) as text_md5 from chunks where platform = 'p1'")
+def _(t):
+    return _sql(t, """SELECT d.document_id, e.chunk_id, e.chunk_index, md5(e.text) AS text_md5
+        FROM (SELECT DISTINCT document_id FROM embedded_chunks WHERE platform = 'p1') d, LATERAL get_document_embeddings(d.document_id) e
+        JOIN embedded_chunks c ON c.chunk_id = e.chunk_id AND c.platform = 'p1'""")
+
+
+@query("sql_case_stats", "UD-04 AG-22", f"""with {_CHUNKS} select case_id, platform, count(distinct document_id) as document_count, count(*) as chunk_count, round(avg(length(text)), 6) as avg_chunk_length from chunks group by all""")
+def _(t):
+    return _sql(t, """SELECT c.case_id, s.platform, s.document_count, s.chunk_count, round(s.avg_chunk_length, 6) AS avg_chunk_length
+        FROM (SELECT DISTINCT case_id FROM embedded_chunks) c, LATERAL get_case_embedding_stats(c.case_id) s""")
+
+
 _HASH = """words as (select item_id, unnest(regexp_extract_all(lower(text), '\\b\\w+\\b')) as w from benchmark),
 h as (select item_id, list_reduce(list_prepend(0::bigint, list_transform(string_split(w, ''), lambda c: unicode(c)::bigint)), lambda a, c: ((a * 31 + c + 2147483648) & 4294967295) - 2147483648) as h from words),
 d as (select item_id, i, sum(sin(h * i) * 0.01) as v from h, range(1, 385) r(i) group by all), n as (select item_id, sqrt(sum(v * v)) as n from d group by 1)"""
