@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from threadloom import lexicons as lx
 from threadloom.functions import spans as sp
 from threadloom.functions import ordered
+from threadloom.operators import automaton
 from threadloom.functions.sizing import INLINE_ROWS, broadcast_if_small, inline_rows, row_blocks, rows_within
 
 MATCH_CONFIDENCE = 80
@@ -55,11 +56,17 @@ def match_lexicon(
     """One row per case-insensitive occurrence of a lexicon phrase, overlaps included.
 
     A lexicon of checked size travels as a constant inside the projection, so matching is a
-    narrow operation. A larger one is joined on character keys, see :func:`_match_by_keys`.
+    narrow operation. A larger one becomes an automaton in the workers, see :mod:`automaton`, and one
+    whose phrases are too many bytes to send is joined on character keys, see :func:`_match_by_keys`.
     """
     rows = rows_within(lexicon.dropDuplicates(["module", "term"]), INLINE_ROWS)
     if rows is None:
-        found = _match_by_keys(docs, lexicon, id_col, text_col)
+        distinct = lexicon.dropDuplicates(["module", "term"])
+        phrases = automaton.phrases_within(distinct.select(F.lower("term").alias("term")), "term")
+        if phrases is None:
+            found = _match_by_keys(docs, lexicon, id_col, text_col)
+        else:
+            found = automaton.match_phrases(docs, distinct, phrases, "term", id_col, text_col)
     else:
         found = _match_inline(docs, inline_rows(rows, lx.LEXICON_SCHEMA), id_col, text_col)
     return found.select(

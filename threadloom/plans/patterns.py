@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from threadloom import lexicons as lx
+from threadloom.operators import automaton
 from threadloom.operators import classify as cl
 from threadloom.operators import patterns as pm
 from threadloom.plans.catalog import query
@@ -31,6 +32,15 @@ def _(t):
     )
 
 
+@query("lexicon_match_automaton", "PM-01 JN-04", f"""with {MATCHES_CTE}
+select doc_id, module, term, start, start + length(term) as end_pos from matches""")
+def _(t):
+    lexicon = corpus_lexicon(t.spark)
+    phrases = automaton.phrases_within(lexicon.select(F.lower("term").alias("term")), "term")
+    found = automaton.match_phrases(t.documents, lexicon, phrases, "term", "doc_id", "text")
+    return found.select("doc_id", "module", "term", "start", F.col("end").alias("end_pos"))
+
+
 @query("lexicon_modules_custom", "PM-02 SO-09", f"""with {LEXICON_CTE},
 custom(category, term, is_active) as (values ('Blame Shifting', 'tion the', true), ('Blame Shifting', 'zzz', false),
   ('Unknown Group', 'the', true), ('gaslighting', 'ächst', true)),
