@@ -43,27 +43,32 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def tile_rows(length: int, kind: str) -> int:
+    return min(TILE_ROWS, max(64, TILE_BYTES // (length * np.dtype(kind).itemsize)))
+
+
 class _Frame:
-    """Rotation, blocks and regions of the vectors of one length."""
+    """Rotation and regions of the vectors of one length."""
 
-    def __init__(self, sample: np.ndarray, share: float, blocks: int, regions: int):
+    def __init__(self, sample: np.ndarray, regions: int):
         d = sample.shape[1]
         points = unit(sample)
         basis = np.linalg.eigh(np.cov(points.T).reshape(d, d) if len(points) > 1 else np.eye(d))[1][:, ::-1]
-        self.blocks = [np.arange(b, d, min(blocks, d)) for b in range(min(blocks, d))]
-        self.basis = basis.astype(np.float64)
-        self.tiling = Tiling(points @ self.basis, max(1, round(regions * share)), list(range(min(4, d))))
+        self.basis = basis
+        self.tiling = Tiling(points @ self.basis, regions, list(range(min(4, d))))
 
 
 class Plan:
     """What tasks need to know: frames by length; lengths outside the sample keep their own axes in one region."""
 
-    def __init__(self, sample: list[np.ndarray], threshold: float, blocks: int, regions: int):
+    def __init__(self, sample: list[np.ndarray], total: int, threshold: float, blocks: int, regions: int, kind: str):
         self.threshold, self.n_blocks, self.frames = threshold, blocks, {}
         lengths, counts = np.unique([len(v) for v in sample], return_counts=True)
         for i in np.argsort(-counts, kind="stable")[:BASES]:
             own = np.array([v for v in sample if len(v) == lengths[i]], np.float64)
-            self.frames[int(lengths[i])] = _Frame(own, counts[i] / len(sample), blocks, regions)
+            # no more regions than full tiles: small tiles meet more often and are read as often
+            full = -(-total * counts[i] // (len(sample) * tile_rows(int(lengths[i]), kind)))
+            self.frames[int(lengths[i])] = _Frame(own, int(min(regions, full)))
 
     def rotated(self, points: np.ndarray) -> np.ndarray:
         frame = self.frames.get(points.shape[1])
@@ -163,7 +168,7 @@ def _packed(classes: DataFrame, plan: Plan, kind: str) -> DataFrame:
                 yield g
 
     rows = cut_lineage(classes.mapInPandas(placed, classes.schema.simpleString()[7:-1] + ",region:int"))
-    rows = split_regions(rows, F.col("class"), F.least(F.lit(TILE_ROWS), F.greatest(F.lit(64), F.lit(TILE_BYTES) / (F.col("length") * np.dtype(kind).itemsize))))
+    rows = split_regions(rows, F.col("class"), F.least(F.lit(TILE_ROWS), F.greatest(F.lit(64), F.floor(F.lit(TILE_BYTES) / (F.col("length") * np.dtype(kind).itemsize)))))
 
     def pack(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("class")
@@ -202,7 +207,7 @@ def links(classes: DataFrame, kind: str = "f8", threshold: float = 0.9, blocks:
     ``classes`` holds (class, vector, copies, length), one row for each distinct usable vector.
     """
     drawn = classes.orderBy(F.xxhash64("vector"), "class").limit(sample).select("vector").collect()
-    plan = Plan([np.array(r[0]) for r in drawn], threshold, blocks, regions)
+    plan = Plan([np.array(r[0]) for r in drawn], classes.count(), threshold, blocks, regions, kind)
     packed = _packed(classes, plan, kind)
     tiles = packed.select("length", "region", "part")
     near = near_regions(region_boxes(packed), 2 - 2 * threshold)
