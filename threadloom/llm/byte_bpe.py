@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.words import at_blanks, blocks, gathered
+from threadloom.llm.words import at_blanks, blocks, content, gathered
 
 #: Words of each of two generations that a worker remembers (about 25 MB each), bytes of text handled at once, and the
 #: length of the longest word remembered. More of both is faster and takes more memory.
@@ -176,14 +176,18 @@ class Encoder:
         odd = np.array([not w or w[-1].isspace() for w in words.distinct], bool)[words.index]
         whole = np.logical_or.reduceat(odd, words.offsets[:-1])
         special = np.zeros(rows, bool)
+        held = content(texts) if self.added else b""
         for token in self.added:
-            special |= pc.match_substring(pc.fill_null(texts, ""), token).to_numpy(zero_copy_only=False)
+            if token.encode() in held:
+                special |= pc.match_substring(pc.fill_null(texts, ""), token).to_numpy(zero_copy_only=False)
         whole |= special
         index = words.index.copy()
         index[words.offsets[:-1]] = len(words.distinct) + np.arange(rows)
         firsts = []
-        for i, (text, at) in enumerate(zip(texts.to_pylist(), words.index[words.offsets[:-1]].tolist())):
+        uncut = iter(texts.filter(pa.array(whole)).to_pylist())
+        for i, at in enumerate(words.index[words.offsets[:-1]].tolist()):
             if whole[i]:
+                text = next(uncut)
                 index[words.offsets[i] : words.offsets[i + 1]] = len(words.distinct) + rows  # stands for nothing
                 index[words.offsets[i]] = len(words.distinct) + i
                 firsts.append(self._special(text) if special[i] else self._text(text) if text else b"")

@@ -31,7 +31,7 @@ def write(
     """
     placed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
     placed = placed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "__text")
-    placed = placed.select("doc_id", F.monotonically_increasing_id().alias("position"), encode_column("__text", vocabulary, pattern, end_id, 300_000, 8_000_000).alias("ids"))
+    placed = placed.select("doc_id", F.monotonically_increasing_id().alias("position"), encode_column("__text", vocabulary, pattern, end_id, 600_000, 16_000_000).alias("ids"))
     (
         placed.select("doc_id", "position", F.size("ids").alias("n_tokens"), "ids").write.mode("overwrite")
         .option("compression", "zstd").option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", index_rows)

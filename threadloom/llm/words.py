@@ -55,6 +55,14 @@ def blocks(texts: pa.Array, most: int) -> list[pa.Array]:
     return [*out, texts.slice(start)] if lengths else out
 
 
+def content(texts: pa.Array) -> bytes:
+    """The UTF-8 bytes of all rows, one behind the other (what null rows cover is undefined)."""
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64 if wide else np.int32)[[texts.offset, texts.offset + len(texts)]] if len(texts) else (0, 0)
+    return data[int(ends[0]) : int(ends[1])].to_pybytes() if data is not None else b""
+
+
 def gathered(parts: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The 32-bit numbers of ``parts[index[0]]``, ``parts[index[1]]``, ... and where each of these begins (and the end)."""
     table = np.frombuffer(b"".join(parts), "<u4")
