@@ -134,3 +134,12 @@ def test_token_files_prune_by_id(spark, tmp_path, sample):
     file = orc.ORCFile(next(str(p) for p in Path(path).glob("*.orc")))
     assert file.compression == "ZSTD" and file.nstripes >= 1
     assert token_files.read(spark, path).agg(F.sum("n_tokens")).first()[0] == docs.count() + sum(len(x.ids) - 1 for x in token_files.read(spark, path).collect())
+
+
+def test_round_trip_in_one_column(spark, odd_documents):
+    vocabulary = byte_bpe.vocabulary_from_ranks(queries.RANK_FILE, queries.PATTERN)
+    rows = odd_documents.select("doc_id", "text")
+    plain = byte_bpe.decode(byte_bpe.encode(rows, vocabulary, queries.PATTERN), vocabulary, queries.PATTERN)
+    once = rows.withColumn("c", byte_bpe.round_trip_column("text", vocabulary, queries.PATTERN)).select("doc_id", "text", "c.ids", "c.decoded")
+    assert sorted(map(str, once.collect())) == sorted(map(str, plain.collect()))
+    assert once.where("false").collect() == []

@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm import worker_cache
 from threadloom.llm.words import at_blanks, blocks, content, gathered
 
 #: Words of each of two generations that a worker remembers (about 25 MB each), bytes of text handled at once, and the
@@ -199,9 +200,8 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(bounds[words.offsets], pa.int32()), pa.array(ids.view("<i4"), pa.int32()))
 
 
-@lru_cache(2)
 def encoder(vocabulary: str, pattern: str, remembered: int = CACHE_ENTRIES) -> Encoder:
-    return Encoder(vocabulary, pattern, remembered)
+    return worker_cache.kept(("encoder", vocabulary, pattern, remembered), lambda: Encoder(vocabulary, pattern, remembered))
 
 
 def _ended(ids: pa.Array, end_id: int) -> pa.Array:
@@ -250,6 +250,26 @@ def decode_column(ids: Column | str, vocabulary: str, pattern: str) -> Column:
     return decode(ids)
 
 
+def round_trip_column(text: Column | str, vocabulary: str, pattern: str) -> Column:
+    """struct<ids,decoded>: the ids of a text and the bytes they stand for, from one worker with one vocabulary."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        enc = encoder(vocabulary, pattern)
+        ids, decoded = [pa.array([], pa.list_(pa.int32()))], [pa.array([], pa.binary())]
+        gc.disable()  # as in encode_column
+        try:
+            for block in blocks(texts, BLOCK_BYTES):
+                ids.append(enc.encode(block))
+                decoded.append(pa.array([b"".join([enc.bytes_of[i] for i in row.tolist()]) for row in id_rows(ids[-1])], pa.binary()))
+        finally:
+            gc.enable()
+        return pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(decoded)], ["ids", "decoded"])
+
+    # not deterministic only in name: Spark then runs it once, not again for every field
+    return both.asNondeterministic()(text)
+
+
 def ids_digest_column(ids: Column | str) -> Column:
     """Lowercase hex SHA-256 of the ids as little-endian unsigned 32-bit integers."""
 

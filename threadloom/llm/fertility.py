@@ -12,13 +12,13 @@ empty tables give empty tables. Output columns replace input columns of the same
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm import worker_cache
 from threadloom.llm.words import between_spaces, blocks, gathered
 
 #: Words a worker remembers (about 25 MB at most), and the longest of them.
@@ -145,9 +145,8 @@ def script(text: str) -> str:
     return best if totals[best] else "other"
 
 
-@lru_cache(2)
 def _meter(model: bytes) -> Meter:
-    return Meter(model)
+    return worker_cache.kept(("meter", model), lambda: Meter(model))
 
 
 def measure_column(text: Column | str, model: bytes) -> Column:
@@ -161,6 +160,7 @@ def measure_column(text: Column | str, model: bytes) -> Column:
         names = [f.split(":")[0] for f in MEASURES.split(",")]
         kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.string(), pa.float64()]
         columns = [pa.array([row[k] for row in out], kind) for k, kind in enumerate(kinds)]
+        worker_cache.give_back()
         return pa.StructArray.from_arrays(columns, names)
 
     # not deterministic only in name: Spark then runs it once, not again for every later use of the column

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm import worker_cache
 from threadloom.llm.components import components
 from threadloom.llm.words import between_spaces, blocks
 from threadloom.session import cut_lineage
@@ -75,6 +76,7 @@ def sets_column(text: Column | str, width: int, size: int) -> Column:
 
     @F.arrow_udf("struct<n:bigint,key:binary,sig:binary>")
     def describe(texts: pa.Array) -> pa.Array:
+        worker_cache.release()
         n, keys, sigs = [], [], []
         for block in blocks(texts, 4_000_000):
             for s in shingle_sets(block, width):

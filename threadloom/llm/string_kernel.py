@@ -27,13 +27,13 @@ from __future__ import annotations
 import itertools
 import math
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm import worker_cache
 from threadloom.llm.words import between_spaces, blocks
 from threadloom.session import cut_lineage
 
@@ -238,9 +238,8 @@ class Scorer:
         return out
 
 
-@lru_cache(2)
 def _scorer(weights: bytes, bias: float) -> Scorer:
-    return Scorer(weights, bias)
+    return worker_cache.kept(("scorer", weights, bias), lambda: Scorer(weights, bias))
 
 
 def margin_column(text: Column | str, weights: bytes, bias: float) -> Column:
