@@ -15,6 +15,7 @@ from threadloom.llm import byte_bpe, fertility, lsh_forest, mixing, private_data
 from threadloom.llm.queries import PATTERN, PIECE_MODEL, RANK_FILE
 from threadloom.session import read_table, scratch_path
 
+ROW_GROUP_BYTES = 16 << 20
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -44,9 +45,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     vocabulary = byte_bpe.vocabulary_from_ranks(RANK_FILE, PATTERN)
-    coded = byte_bpe.decode(byte_bpe.encode(docs, vocabulary, PATTERN), vocabulary, PATTERN)
-    same = F.col("decoded") == F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    coded = docs.withColumn("coded", byte_bpe.round_trip_column("text", vocabulary, PATTERN))
+    ids = F.col("coded.ids")
+    same = F.col("coded.decoded") == F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
+    return coded.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_tokens"), ids.alias("ids"), same.alias("round_trip"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -65,6 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        # small row groups: a writer holds one of raw text in memory, next to the stage's Python workers
+        stage(spark, docs, sf_dir).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
         docs = spark.read.parquet(path)
     return docs
