@@ -84,6 +84,42 @@ def test_large_groups_lose_no_link(spark, near_copies, monkeypatch, limits):
     assert got == {i: want for (i, _), want in zip(near_copies, plain_components(near_copies, 3, 85))}
 
 
+@pytest.fixture(scope="module")
+def hot_region():
+    """Documents that all share one long passage; every one has a near copy."""
+    r, shared, rows = random.Random(11), prose(900, 120), []
+    for k in range(400):
+        words = (shared + " " + " ".join(f"own{k}x{i}" for i in range(50))).split()
+        copy = list(words)
+        copy[r.randrange(120, len(words))] = f"new{k}"
+        rows += [" ".join(words), " ".join(copy)]
+    r.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("tile", [3_000, 50])
+def test_hot_regions_lose_no_link(spark, hot_region, monkeypatch, tile):
+    monkeypatch.setattr(lsh_forest, "TILE_CLASSES", tile)
+    df = spark.createDataFrame(hot_region, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in lsh_forest.group(df, 3, 85).collect()}
+    assert got == {i: want for (i, _), want in zip(hot_region, plain_components(hot_region, 3, 85))}
+
+
+@pytest.mark.parametrize("share", [0.6, 0.78])
+def test_every_candidate_of_a_crowded_run_is_compared(spark, share):
+    """Signatures of one region, each with one partner: all alike that share the least depth in a tree end in one group."""
+    rng = np.random.default_rng(3)
+    common, n, size = rng.integers(0, 256, 96, dtype=np.uint8), 1_000, lsh_forest.TREES * lsh_forest.TREE_BYTES
+    mine, other = (np.where(rng.random((n, size)) < share, common, rng.integers(0, 256, (n, size), dtype=np.uint8)) for _ in range(2))
+    sigs = np.concatenate([mine, np.where(rng.random((n, size)) < 0.85, mine, other)])
+    rows = [(b"%06d" % i, s.tobytes()) for i, s in enumerate(sigs)]
+    groups = {int(r.node): int(r.root) for r in lsh_forest.loose_groups(spark.createDataFrame(rows, "key binary, sig binary"), 0.8).collect()}
+    runs = sigs.reshape(2 * n, lsh_forest.TREES, -1)[:, :, : lsh_forest.LEAST_DEPTH]
+    for i in range(2 * n):
+        alike = ((sigs == sigs[i]).sum(axis=1) >= 0.6 * size) & (runs == runs[i]).all(axis=2).any(axis=1)
+        assert {groups.get(int(j), int(j)) for j in np.flatnonzero(alike)} == {groups.get(i, i)}
+
+
 def test_links_inside_keeps_outsiders():
     sets = [np.unique(np.random.default_rng(i % 7).integers(0, 2**60, 40, dtype=np.uint64)) for i in range(200)]
     links = lsh_forest._links_inside(sets, 85)

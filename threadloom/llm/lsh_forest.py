@@ -2,15 +2,18 @@
 
 1. Every document becomes a set of word shingles (64-bit hashes) and a signature of one byte per permutation. Equal
    sets are one class from here on.
-2. The forest: each tree orders the classes by its own eight signature bytes. A class's candidates are its neighbours
-   in that order, the ones with the longest common prefix: the depth adapts to the region, deep where many signatures
-   are alike and shallow where few are, but never below ``LEAST_DEPTH``. Neighbours whose whole signatures agree on
-   about ``slack`` less than the threshold form loose groups; they bound what has to be compared.
+2. The forest: each tree orders the classes by its own signature bytes. A class's candidates are its neighbours in that
+   order, the ones with the longest common prefix: the depth adapts to the region, deep where many signatures are alike
+   and shallow where few are, but never below ``LEAST_DEPTH``. Candidates whose whole signatures agree on about
+   ``slack`` less than the threshold form loose groups; they bound what has to be compared. The order shows a class
+   the ``NEIGHBOURS`` before it. A run of more classes that share the least depth and is not yet one group is then
+   compared whole: the classes outside its largest group meet all of the run, in tiles of bounded size dealt to tasks
+   of their own. So every pair that shares the least depth in some tree is decided, whatever the size of its region.
 3. Inside a loose group the full sets are intersected exactly, block by block. Blocks of a large group are compared
    pairwise in tasks of their own, and each returns a spanning forest of the links, never all pairs.
 4. Links give components; the least id of a component is its name.
 
-At a similarity of 0.85 a pair shares four bytes in one of 12 trees with probability 0.9998. Words are runs of bytes
+A pair at a similarity of 0.85 shares four bytes in one of 16 trees with probability 0.99999, one at 0.8 with 0.9998. Words are runs of bytes
 other than ASCII blanks, A-Z lower-cased. A text with fewer words than a shingle is one shingle; null texts and texts
 without words have an empty set, are linked with nothing and form a component of their own. Repeated rows are copies
 of each other. Null ids are never the least id of a component that has others. Empty tables give empty tables. The result has fixed columns;
@@ -32,7 +35,9 @@ from threadloom.llm.components import components
 from threadloom.llm.words import between_spaces, blocks
 from threadloom.session import cut_lineage
 
-TREES, TREE_BYTES, LEAST_DEPTH, NEIGHBOURS, SLACK = 12, 8, 4, 4, 0.2
+TREES, TREE_BYTES, LEAST_DEPTH, NEIGHBOURS, SLACK = 16, 6, 4, 4, 0.2
+#: Classes on each side of a tile of a crowded run.
+TILE_CLASSES = 3_000
 #: A comparison holds at most twice this many documents and shingles (beyond one long document).
 BLOCK_DOCUMENTS, BLOCK_SHINGLES = 1_500, 1_500_000
 _ODD = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,11 +179,78 @@ def _scan(least_equal: float):
     return scan
 
 
+def _in_trees(classes: DataFrame, trees: int, length: int) -> DataFrame:
+    """A row for each class and tree, with the first bytes of the tree's order."""
+    rows = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    return rows.withColumn("ordered", F.substring("sig", F.col("tree") * TREE_BYTES + 1, F.lit(length)))
+
+
+def _agreeing(left: np.ndarray, right: np.ndarray, least: float):
+    """Row numbers (of left, of right) of signatures that agree in a share of at least ``least`` of their bytes."""
+    size = left.shape[1]
+    step = max(1, 8_000_000 // max(right.size, 1))
+    for i in range(0, len(left), step):
+        same = (left[i : i + step, None, :] == right[None]).view(np.uint8)
+        if size % 8 == 0 and size < 256:  # eight byte-wise counts in a word, then their sum
+            count = (same.view(np.uint64).sum(axis=2, dtype=np.uint64) * np.uint64(0x0101010101010101)) >> np.uint64(56)
+        else:
+            count = same.sum(axis=2, dtype=np.int32)
+        at, to = np.nonzero(count >= least * size)
+        yield at + i, to
+
+
+def crowded_links(classes: DataFrame, roots: DataFrame, least_equal: float, trees: int = TREES) -> DataFrame:
+    """(a, b): links between the groups of ``roots`` (node, root) that the neighbours in the orders have not shown.
+
+    Looks at runs of more than ``NEIGHBOURS`` + 1 classes that share the least depth in a tree; smaller ones are done.
+    """
+    named = classes.select("key", "sig").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
+    named = cut_lineage(named.withColumn("root", F.coalesce("root", "key")))
+    run = ["tree", "ordered"]
+    parts = _in_trees(named.select("sig", "root"), trees, LEAST_DEPTH).groupBy(*run, "root").agg(F.count("*").alias("n"))
+    runs = parts.groupBy(run).agg(F.sum("n").alias("classes"), F.max(F.struct("n", "root")).alias("most"))
+    rest = F.col("classes") - F.col("most.n")
+    runs = runs.where((F.col("classes") > NEIGHBOURS + 1) & (rest > 0)).select(
+        *run, F.col("most.root").alias("most"), F.ceil(rest / TILE_CLASSES).cast("int").alias("tall"),
+        F.ceil(F.col("classes") / TILE_CLASSES).cast("int").alias("wide"),
+    )
+    rows = cut_lineage(_in_trees(named, trees, LEAST_DEPTH).join(runs, run))
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    place = F.abs(F.xxhash64("key"))
+    left = rows.where("root != most").select(
+        *run, "key", "sig", "root", F.lit(True).alias("left"), (place % F.col("tall")).cast("int").alias("i"), F.explode(numbers(F.col("wide"))).alias("j"))
+    right = rows.select(
+        *run, "key", "sig", "root", F.lit(False).alias("left"), F.explode(numbers(F.col("tall"))).alias("i"), (place % F.col("wide")).cast("int").alias("j"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        sigs = np.frombuffer(b"".join(frame["sig"]), np.uint8).reshape(len(frame), -1)
+        mine = frame["left"].to_numpy()
+        names, number = np.unique(frame["root"].to_numpy(), return_inverse=True)
+        own, other, forest, links = number[mine], number[~mine], _Forest(), []
+        for at, to in _agreeing(sigs[mine], sigs[~mine], least_equal):
+            pairs = np.unique(own[at].astype(np.int64) * len(names) + other[to])
+            for p in pairs.tolist():
+                a, b = divmod(p, len(names))
+                if a != b and forest.add(a, b):
+                    links.append((names[a], names[b]))
+        return pd.DataFrame({"a": [a for a, _ in links], "b": [b for _, b in links]})
+
+    return left.union(right).groupBy(*run, "i", "j").applyInPandas(compare, "a binary, b binary")
+
+
+def loose_groups(classes: DataFrame, threshold: float, trees: int = TREES, slack: float = SLACK) -> DataFrame:
+    """(node, root): the classes (key, sig) that have candidates, and the least class of their loose group."""
+    near = cut_lineage(components(loose_links(classes, threshold, trees, slack)))
+    above = components(crowded_links(classes, near, threshold - slack, trees))
+    lifted = near.join(above.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left")
+    lone = above.join(near, "node", "left_anti")
+    return lifted.select("node", F.coalesce("above", "root").alias("root")).union(lone.select("node", "root"))
+
+
 def loose_links(classes: DataFrame, threshold: float, trees: int = TREES, slack: float = SLACK) -> DataFrame:
     """(a, b): pairs of class keys whose signatures are neighbours in some tree and alike enough to be compared."""
     least_equal = threshold - slack
-    rows = classes.select("key", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    rows = rows.withColumn("ordered", F.substring("sig", F.col("tree") * TREE_BYTES + 1, F.lit(TREE_BYTES)))
+    rows = _in_trees(classes.select("key", "sig"), trees, TREE_BYTES)
     placed = rows.repartitionByRange("tree", "ordered").sortWithinPartitions("tree", "ordered", "key")
     found = cut_lineage(placed.mapInArrow(_scan(least_equal), "a binary, b binary, part int, row bigint, tree int, sig binary"))
 
@@ -273,7 +345,7 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc
         F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("sig").alias("sig"), F.first("n").alias("n"),
     )
     classes = cut_lineage(classes)
-    loose = components(loose_links(classes, percent / 100))
+    loose = loose_groups(classes, percent / 100)
     # full sets of one document of each class that has candidates
     wanted = classes.join(loose.select(F.col("node").alias("key"), F.col("root").alias("group")), "key")
     wanted = wanted.select("key", "group", "n", F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash"))
