@@ -38,6 +38,8 @@ from threadloom.session import cut_lineage
 TREES, TREE_BYTES, LEAST_DEPTH, NEIGHBOURS, SLACK = 16, 6, 4, 4, 0.2
 #: Classes on each side of a tile of a crowded run.
 TILE_CLASSES = 3_000
+#: Crowded runs (24 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST_RUNS = 400_000
 #: A comparison holds at most twice this many documents and shingles (beyond one long document).
 BLOCK_DOCUMENTS, BLOCK_SHINGLES = 1_500, 1_500_000
 _ODD = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -206,21 +208,26 @@ def crowded_links(classes: DataFrame, roots: DataFrame, least_equal: float, tree
     """
     named = classes.select("key", "sig").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
     named = cut_lineage(named.withColumn("root", F.coalesce("root", "key")))
-    run = ["tree", "ordered"]
-    parts = _in_trees(named.select("sig", "root"), trees, LEAST_DEPTH).groupBy(*run, "root").agg(F.count("*").alias("n"))
-    runs = parts.groupBy(run).agg(F.sum("n").alias("classes"), F.max(F.struct("n", "root")).alias("most"))
+    # a run by a hash: two runs of one hash would only be compared as one
+    placed = _in_trees(named.withColumn("name", F.xxhash64("root")), trees, LEAST_DEPTH).withColumn("run", F.xxhash64("tree", "ordered"))
+    parts = placed.groupBy("run", "name").agg(F.count("*").alias("n"))
+    runs = parts.groupBy("run").agg(F.sum("n").alias("classes"), F.max(F.struct("n", "name")).alias("most"))
     rest = F.col("classes") - F.col("most.n")
-    runs = runs.where((F.col("classes") > NEIGHBOURS + 1) & (rest > 0)).select(
-        *run, F.col("most.root").alias("most"), F.ceil(rest / TILE_CLASSES).cast("int").alias("tall"),
+    runs = cut_lineage(runs.where((F.col("classes") > NEIGHBOURS + 1) & (rest > 0)).select(
+        "run", F.col("most.name").alias("most"), F.ceil(rest / TILE_CLASSES).cast("int").alias("tall"),
         F.ceil(F.col("classes") / TILE_CLASSES).cast("int").alias("wide"),
-    )
-    rows = cut_lineage(_in_trees(named, trees, LEAST_DEPTH).join(runs, run))
-    numbers = lambda n: F.sequence(F.lit(0), n - 1)
-    place = F.abs(F.xxhash64("key"))
-    left = rows.where("root != most").select(
-        *run, "key", "sig", "root", F.lit(True).alias("left"), (place % F.col("tall")).cast("int").alias("i"), F.explode(numbers(F.col("wide"))).alias("j"))
-    right = rows.select(
-        *run, "key", "sig", "root", F.lit(False).alias("left"), F.explode(numbers(F.col("tall"))).alias("i"), (place % F.col("wide")).cast("int").alias("j"))
+    ))
+    count = runs.count()
+    if not count:
+        return named.where("false").select(F.col("key").alias("a"), F.col("key").alias("b"))
+    # rows of four numbers: their count is their size
+    rows = placed.join(F.broadcast(runs) if count <= BROADCAST_RUNS else runs, "run")
+    number = lambda n: F.pmod(F.xxhash64("key"), F.col(n).cast("bigint")).cast("int")
+    tile = lambda left, i, j: F.struct(F.lit(left).alias("left"), i.alias("i"), j.alias("j"))
+    outside = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda j: tile(True, number("tall"), j))
+    all_of_it = F.transform(F.sequence(F.lit(0), F.col("tall") - 1), lambda i: tile(False, i, number("wide")))
+    tiles = F.when(F.col("name") != F.col("most"), F.concat(outside, all_of_it)).otherwise(all_of_it)
+    rows = rows.select("run", "key", "sig", "root", F.explode(tiles).alias("tile")).select("run", "sig", "root", "tile.*")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         sigs = np.frombuffer(b"".join(frame["sig"]), np.uint8).reshape(len(frame), -1)
@@ -235,13 +242,16 @@ def crowded_links(classes: DataFrame, roots: DataFrame, least_equal: float, tree
                     links.append((names[a], names[b]))
         return pd.DataFrame({"a": [a for a, _ in links], "b": [b for _, b in links]})
 
-    return left.union(right).groupBy(*run, "i", "j").applyInPandas(compare, "a binary, b binary")
+    return rows.groupBy("run", "i", "j").applyInPandas(compare, "a binary, b binary")
 
 
 def loose_groups(classes: DataFrame, threshold: float, trees: int = TREES, slack: float = SLACK) -> DataFrame:
     """(node, root): the classes (key, sig) that have candidates, and the least class of their loose group."""
     near = cut_lineage(components(loose_links(classes, threshold, trees, slack)))
-    above = components(crowded_links(classes, near, threshold - slack, trees))
+    links = cut_lineage(crowded_links(classes, near, threshold - slack, trees))
+    if not links.limit(1).count():
+        return near
+    above = components(links)
     lifted = near.join(above.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left")
     lone = above.join(near, "node", "left_anti")
     return lifted.select("node", F.coalesce("above", "root").alias("root")).union(lone.select("node", "root"))
