@@ -106,9 +106,10 @@ def shortest_paths(
 ) -> DataFrame:
     """Shortest paths between two vertices, all of the same minimal length or the first ``limit``.
 
-    Two passes: breadth-first levels from the source (one row per vertex), then only the edges
-    that go one level up towards the target are walked back. No path is carried while searching,
-    so the frontier is bounded by the vertices, not by the number of paths.
+    Breadth-first levels from the source (one row per vertex), then the vertices of each level that lie on a shortest
+    path, walked back from the target, then paths along those alone. Each of them reaches the target, so the first
+    ``limit`` prefixes of a level hold the prefixes of the first ``limit`` paths: no step keeps more, however many
+    paths there are.
     """
     used = edges.where(F.col("type").isin(list(types))) if types else edges
     steps = _steps(used, directed)
@@ -133,12 +134,16 @@ def shortest_paths(
             break
     if found is None:
         return empty
-    paths = spark.createDataFrame([([target],)], f"path array<{kind}>")
-    for hop in range(found - 1, -1, -1):
-        layer = levels.where(F.col("level") == hop).select(F.col("id").alias("src"))
-        back = steps.join(broadcast_if_small(paths.withColumn("dst", F.col("path")[0])), "dst").join(layer, "src", "left_semi")
-        grown = back.select(F.concat(F.array("src"), "path").alias("path"))
-        paths = cut_lineage(grown)
+    on_path = {found: spark.createDataFrame([(target,)], f"id {kind}")}
+    for hop in range(found - 1, 0, -1):
+        before = steps.join(broadcast_if_small(on_path[hop + 1].withColumnRenamed("id", "dst")), "dst").select(F.col("src").alias("id")).distinct()
+        on_path[hop] = cut_lineage(before.join(levels.where(F.col("level") == hop).select("id"), "id", "left_semi"))
+    paths = spark.createDataFrame([([source],)], f"path array<{kind}>")
+    for hop in range(1, found + 1):
+        ahead = steps.join(broadcast_if_small(paths.withColumn("src", F.element_at("path", -1))), "src").join(
+            broadcast_if_small(on_path[hop].withColumnRenamed("id", "dst")), "dst")
+        grown = ahead.select(F.concat("path", F.array("dst")).alias("path"))
+        paths = cut_lineage(first_rows(grown.orderBy("path"), limit) if limit else grown)
     return first_rows(paths.select(F.lit(found).alias("hops"), "path").orderBy("path"), limit)
 
 

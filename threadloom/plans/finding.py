@@ -8,6 +8,7 @@ from threadloom.functions import textfn as tx
 from threadloom.functions.sql import register_functions
 from threadloom.operators import chunking as ch
 from threadloom.operators import conversations as cv
+from threadloom.operators import fuzzy as fz
 from threadloom.operators import patterns as pm
 from threadloom.operators import retrieval as rt
 from threadloom.operators import search as sr
@@ -198,6 +199,18 @@ def _(t):
     return sr.text_similarities(pairs.withColumnRenamed("text", "b"), "a", "b").select("conv_id", "turn", F.round("cosine", 6).alias("cosine"))
 
 
+def _words(name, table):
+    return f"{name} as (select w, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from {table}) group by 1)"
+
+
+@query("fuzzy_words", "VS-08 PF-05", f"""with {_words('a', 'conversations')}, {_words('b', 'benchmark')}
+select a.w as left_text, b.w as right_text, levenshtein(a.w, b.w)::int as distance, a.n as left_copies, b.n as right_copies
+from a join b on abs(length(a.w) - length(b.w)) <= 2 and levenshtein(a.w, b.w) <= 2""")
+def _(t):
+    words = lambda df: df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("name"))
+    return fz.edit_pairs(words(t.conversations), words(t.benchmark), 2)
+
+
 # --- retrieval --------------------------------------------------------------------------------
 
 _STOP = "(" + ",".join(f"'{w}'" for w in lx.RETRIEVAL_STOP_WORDS) + ")"

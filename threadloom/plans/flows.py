@@ -15,6 +15,7 @@ from threadloom.plans.shared import MESSAGES_CTE, messages
 from threadloom.plans.usage import CALLS_CTE, _LOGS, calls, logs
 from threadloom.session import scratch_path
 from threadloom.sinks import writers as wr
+from threadloom.sinks.keyed import KeyedTable, upsert_batches
 from threadloom.sources import readers as rd
 from threadloom.streaming import jobs as sj
 from threadloom.streaming import segments as sg
@@ -374,8 +375,8 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "stream-upsert")
     stream = _events(t).select("user_id", "event_type", "event_id", "ts")
-    sj.run_batches(stream, "stream-upsert", sj.upsert_batches(path, ["user_id", "event_type"], ["ts", "event_id"]))
-    return sj.latest_version(t.spark, path).select("user_id", "event_type", "event_id")
+    sj.run_batches(stream, "stream-upsert", upsert_batches(path, ["user_id", "event_type"], ["ts", "event_id"], buckets=16))
+    return KeyedTable(t.spark, path, ["user_id", "event_type"], buckets=16).read().select("user_id", "event_type", "event_id")
 
 
 # --- learning and registries ------------------------------------------------------------------

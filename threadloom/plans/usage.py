@@ -8,6 +8,8 @@ from threadloom.operators import stats as st
 from threadloom.operators import tables as tb
 from threadloom.plans.catalog import query
 from threadloom.plans.shared import messages
+from threadloom.session import scratch_path
+from threadloom.sinks.keyed import KeyedTable
 
 CALLS_CTE = """calls as (select event_id, ts, user_id, event_type as tool, 'p' || (user_id % 3) as provider, value as duration, event_type <> 'error' as success,
  case when event_type = 'error' then 'E' || event_id end as error, (props::json ->> '$.k')::int as tokens, value / 1000 as cost,
@@ -332,6 +334,20 @@ def _(t):
     return tb.upsert(old, new, ["c_custkey"])
 
 
+@query("keyed_upsert", "SO-03 SNK-04 ST-12", """with n as (select c_custkey + 500 as c_custkey, c_acctbal * 2 as c_acctbal from customer where c_custkey % 2 = 0),
+o as (select c_custkey, c_acctbal from customer), u as (select * from o where c_custkey not in (select c_custkey from n) union all select * from n)
+select c_custkey, case when c_custkey % 50 = 1 then -1.0 else c_acctbal end as c_acctbal from u""")
+def _(t):
+    old = t.customer.select("c_custkey", "c_acctbal")
+    new = t.customer.where("c_custkey % 2 = 0").select((F.col("c_custkey") + 500).alias("c_custkey"), (F.col("c_acctbal") * 2).alias("c_acctbal"))
+    table = KeyedTable(t.spark, scratch_path(t.spark, "keyed"), ["c_custkey"], buckets=16)
+    table.upsert(old, 0)
+    table.upsert(new, 1)
+    table.upsert(old, 1)  # a replayed number changes nothing
+    table.upsert(table.read().where("c_custkey % 50 = 1").withColumn("c_acctbal", F.lit(-1).cast("double")), 2)
+    return table.read()
+
+
 @query("keep_latest", "WN-10", "select user_id, event_type, arg_max(event_id, (ts, event_id)) as event_id, arg_max(value, (ts, event_id)) as value from events group by all")
 def _(t):
     return tb.keep_latest(t.events.select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
