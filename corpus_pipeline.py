@@ -15,6 +15,8 @@ from threadloom.llm import byte_bpe, fertility, lsh_forest, mixing, private_data
 from threadloom.llm.queries import PATTERN, PIECE_MODEL, RANK_FILE
 from threadloom.session import read_table, scratch_path
 
+#: Rows of texts, ids and decoded bytes that a token worker holds at once.
+BATCH_ROWS = 1_000
 ROW_GROUP_BYTES = 16 << 20
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -42,8 +44,16 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Bounds the rows that a worker holds at once; it sets the session, since Spark reads the size when it runs."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, str(BATCH_ROWS if now <= 0 else min(now, BATCH_ROWS)))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
+    _small_batches(spark)
     vocabulary = byte_bpe.vocabulary_from_ranks(RANK_FILE, PATTERN)
     coded = docs.withColumn("coded", byte_bpe.round_trip_column("text", vocabulary, PATTERN))
     ids = F.col("coded.ids")
