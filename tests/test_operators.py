@@ -437,3 +437,26 @@ def test_rule_blocks(spark, monkeypatch):
     whole = sorted(map(str, pm.evaluate_rules(d, rules).collect()))
     monkeypatch.setattr(pm, "row_blocks", lambda df, key, _n: sizing.row_blocks(df, key, 1))
     assert sorted(map(str, pm.evaluate_rules(d, rules).collect())) == whole and len(whole) == 5
+
+
+def test_related_items_brute_force(spark):
+    """Own rows, repeated items, repeated and missing tags and categories; no pair of items is formed."""
+    r = random.Random(5)
+    rows = [(r.randint(0, 60), r.choice(["x", "y", None]), r.choice([None, ["a"], ["b", "a"], ["a", "a", "c"], [], ["c", "b"]])) for _ in range(120)]
+    df = spark.createDataFrame(rows, "item long, category string, tags array<string>")
+    score = lambda a, b: -1 if a is None or b is None else 2 * len(set(a) & set(b)) + 1
+    want = []
+    asked = [x for x in rows if x[0] % 3 == 0]
+    for subject in {x[0] for x in asked}:
+        found = [(-score(t, st), i, c) for s, sc, st in asked if s == subject for i, c, t in rows if c is not None and c == sc and i != subject]
+        want += [(subject, i, c, -n, rank) for rank, (n, i, c) in enumerate(sorted(found, key=lambda f: f[:2])[:4], 1)]
+    got = pm.related_items(df, df.where("item % 3 = 0"), "item", "category", "tags", 4)
+    have = [(*x[:3], -1 if x.score is None else x.score, x.rank) for x in got.collect()]
+    plain = lambda all_rows: sorted((s, n, rank, i) for s, i, c, n, rank in all_rows)
+    assert plain(have) == plain(want) and want
+
+
+def test_related_items_of_one_kind_are_not_paired(spark):
+    df = spark.range(30_000).select(F.col("id").alias("item"), F.lit("x").alias("category"), F.array(F.lit("a")).alias("tags"))
+    got = pm.related_items(df, df, "item", "category", "tags", 2).where("rank = 2")
+    assert got.count() == 30_000 and {r.related for r in got.select(F.col("item").alias("related")).distinct().collect()} == {1, 2}

@@ -497,13 +497,26 @@ def related_items(
 ) -> DataFrame:
     """Items of the same category, scored 1 + 2 per shared tag, best ``k`` per subject.
 
-    ``subjects`` are the items asked about; only their categories' rows take part in the join
-    and the per-subject rank is limited before its shuffle.
+    A score depends only on two tag lists, so pairs are formed of the tag lists of a category, and each list of the subjects
+    ranks its items once. ``2 k`` rows, at most ``k`` of one item, hold the best ``k`` of every subject without its own rows.
     """
     s = subjects.select(F.col(item).alias("subject"), category, F.col(tags).alias("__st"))
-    pairs = items.join(broadcast_if_small(s), category).where(F.col(item) != F.col("subject"))
-    scored = pairs.withColumn("score", F.size(F.array_intersect(tags, "__st")) * 2 + 1)
-    w = Window.partitionBy("subject").orderBy(F.desc("score"), item)
+    order = [F.desc("score"), F.col(item)]
+
+    def first(rows, n, keys, *by):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+        return rows.withColumn("__n", place).where(F.col("__n") <= n).drop("__n")
+
+    rows = first(items.select(item, category, tags).where(F.col(item).isNotNull()), k, [category, tags, item], F.col(item))
+    rows = first(rows, 2 * k, [category, tags], F.col(item))
+    kinds = rows.select(category, tags).distinct().join(s.select(category, "__st").distinct(), category)
+    kinds = kinds.withColumn("score", F.size(F.array_intersect(tags, "__st")) * 2 + 1)
+    held = rows.withColumnRenamed(category, "__c").withColumnRenamed(tags, "__t")
+    found = kinds.join(held, (F.col(category) == F.col("__c")) & F.col(tags).eqNullSafe(F.col("__t"))).select(category, "__st", item, "score")
+    best = first(first(found, k, [category, "__st", item], *order), 2 * k, [category, "__st"], *order)
+    best = best.select(F.col(category).alias("__c"), F.col("__st").alias("__t"), item, "score")
+    scored = s.join(best, (F.col(category) == F.col("__c")) & F.col("__st").eqNullSafe(F.col("__t"))).where(F.col(item) != F.col("subject"))
+    w = Window.partitionBy("subject").orderBy(*order)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
         "subject", item, category, "score", "rank"
     )
