@@ -469,3 +469,10 @@ def test_chunks_without_words_have_unit_vectors(spark):
     word, mixed = (next(r.embedding for r in got.collect() if r.doc_id == i) for i in (2, 3))
     assert word == mixed
     assert all(not any(r.e) for r in docs(spark, "", None).select(sr.hash_embedding(F.col("text")).alias("e")).collect())
+
+
+def test_mean_latency_of_a_half_goes_up(spark):
+    """Added in this order, nine values of sum 4.5 give 4.499999999999999."""
+    values = [0.4, 0.4, 0.1, 1.2, 0.4, 0.4, 0.7, 0.8, 0.1]
+    calls = spark.createDataFrame([(1, v, True) for v in values], "u int, duration double, success boolean").coalesce(1)
+    assert [tuple(r) for r in st.prompt_usage(calls, "u").collect()] == [(1, 9, 100, 1)]
