@@ -108,3 +108,23 @@ def test_closed_windows_do_not_depend_on_batches(spark, tmp_path, n):
     stream = sj.file_stream(spark, src, spark.createDataFrame([], schema).schema)
     got = sj.run_closed(stream, sj.hourly_stats, "hours", F.lit(T0 + dt.timedelta(days=3))).collect()
     assert sorted((r.calls, r.total_duration) for r in got) == [(3, float(9 * h + 3)) for h in range(10)]
+
+
+def test_averages_of_a_long_batch_hold_few_rows(spark, tmp_path):
+    """30,000 rows in any order, with successes in the oldest only: what is held gives the plain fold."""
+    import random
+
+    rows = [(i, i, "p" if i % 2 else "q", i < 2_000 or (i % 2 == 0 and i % 3 == 0), float(i % 17 - 2)) for i in range(30_000)]
+    want = {}
+    for i, _, p, s, d in rows:
+        n, ok, latency = want.get(p, (0, 1.0, 0.0))
+        want[p] = (n + 1, 0.1 * s + 0.9 * ok, 0.1 * d + 0.9 * latency if s and d > 0 else latency)
+    random.Random(3).shuffle(rows)
+    made = spark.createDataFrame(rows, "event_id long, s long, provider string, success boolean, duration double")
+    made.selectExpr("provider", "event_id", "timestamp_seconds(s + 1000000) AS ts", "success", "duration").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    sj.averages_stream(stream).writeStream.outputMode("update").format("memory").queryName("long_averages").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    got = {r.provider: (r.calls, r.success_rate, r.avg_latency) for r in spark.table("long_averages").collect()}
+    assert got.keys() == want.keys()
+    for p, found in got.items():
+        assert found == pytest.approx(want[p], rel=1e-12, abs=1e-12)

@@ -6,8 +6,10 @@ bounded state per key. Checkpoints and sink tables live below the shared folder.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -204,21 +206,37 @@ def _expire_later(state: GroupState, last_ms: int) -> None:
 
 
 def averages_stream(stream: DataFrame, alpha: float = 0.1, delay: str = "72 hours") -> DataFrame:
-    """Running averages per provider after every batch (``provider, event_id, ts, success, duration``)."""
+    """Running averages per provider after every batch (``provider, event_id, ts, success, duration``).
+
+    A row weighs ``alpha`` times ``1 - alpha`` to the power of the rows after it. After ``depth`` rows that is less than the
+    least positive double, so a task holds the newest ``depth`` rows and successes; all rows are read and counted.
+    """
+    depth = math.ceil(math.log(5e-324) / math.log(1 - alpha)) + 1 if alpha < 1 else 1
+
+    kinds = {"us": np.int64, "event_id": np.int64, "success": np.bool_, "duration": np.float64}
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(batches)).sort_values(["us", "event_id"])
         ok, latency, calls = state.get if state.exists else (1.0, 0.0, 0)
-        for success, duration in zip(pdf["success"], pdf["duration"]):
-            ok = alpha * float(success) + (1 - alpha) * ok
-            if success and duration > 0:
-                latency = alpha * float(duration) + (1 - alpha) * latency
-            calls += 1
+        held = None
+        for pdf in batches:
+            part = [pdf[c].to_numpy(kind) for c, kind in kinds.items()]
+            calls += len(pdf)
+            held = part if held is None else [np.concatenate(x) for x in zip(held, part)]
+            order = np.lexsort((held[1], held[0]))
+            held = [x[order] for x in held]
+            felt = np.arange(len(order)) >= len(order) - depth
+            felt[np.flatnonzero(held[2] & (held[3] > 0))[-depth:]] = True
+            held = [x[felt] for x in held]
+        us, _, success, duration = held
+        for s, d in zip(success.tolist(), duration.tolist()):
+            ok = alpha * s + (1 - alpha) * ok
+            if s and d > 0:
+                latency = alpha * d + (1 - alpha) * latency
         state.update((ok, latency, calls))
-        _expire_later(state, int(pdf["us"].iloc[-1]) // 1000)
+        _expire_later(state, int(us[-1]) // 1000)
         yield pd.DataFrame([(key[0], calls, ok, latency)], columns=["provider", "calls", "success_rate", "avg_latency"])
 
     timed = event_time(stream, "ts", delay).withColumn("us", F.unix_micros("ts"))
