@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,29 +153,33 @@ def summary_sentences(text: Column) -> Column:
     return F.filter(found, lambda s: F.length(s) > 10)
 
 
-def _overlap_sums(block: int):
-    """Sum of Jaccard similarities of each sentence of one block to the sentences of another."""
-
-    @F.pandas_udf("array<double>")
-    def sums(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        def one(left, right, same) -> list[float]:
-            vocabulary: dict[str, int] = {}
-            rows = []
-            for side in (left, right):
-                rows.append([[vocabulary.setdefault(w, len(vocabulary)) for w in ws] for ws in side])
-            a, b = (np.zeros((len(r), max(len(vocabulary), 1)), dtype=np.float32) for r in rows)
-            for m, r in ((a, rows[0]), (b, rows[1])):
-                for i, cols in enumerate(r):
-                    m[i, cols] = 1.0
-            inter = (a @ b.T).astype(np.float64)
-            union = a.sum(1, dtype=np.float64)[:, None] + b.sum(1, dtype=np.float64)[None, :] - inter
-            jac = inter / np.maximum(union, 1.0)
-            if same:
-                np.fill_diagonal(jac, 0.0)
-            return jac.sum(axis=1).tolist()
-
-        for left, right, same in batches:
-            yield pd.Series([one(x, y, s) for x, y, s in zip(left, right, same)])
+def _overlap_sums():
+    """Sum of Jaccard similarities of each sentence of one block to the sentences of another; null: to the others of its own."""
+
+    def one(left, right, same) -> list[float]:
+        vocabulary: dict[str, int] = {}
+        rows = []
+        for side in (left, right):
+            rows.append([[vocabulary.setdefault(w, len(vocabulary)) for w in ws] for ws in side])
+        a, b = (np.zeros((len(r), max(len(vocabulary), 1)), dtype=np.float32) for r in rows)
+        for m, r in ((a, rows[0]), (b, rows[1])):
+            for i, cols in enumerate(r):
+                m[i, cols] = 1.0
+        inter = (a @ b.T).astype(np.float64)
+        union = a.sum(1, dtype=np.float64)[:, None] + b.sum(1, dtype=np.float64)[None, :] - inter
+        jac = inter / np.maximum(union, 1.0)
+        if same:
+            np.fill_diagonal(jac, 0.0)
+        return jac.sum(axis=1).tolist()
+
+    @F.arrow_udf("array<double>")
+    def sums(left: pa.Array, right: pa.Array) -> pa.Array:
+        # row by row: the words of a whole batch as Python strings are ten times the batch
+        out = []
+        for i in range(len(left)):
+            x, y = left[i].as_py(), right[i].as_py()
+            out.append(one(x, x if y is None else y, y is None))
+        return pa.array(out, pa.list_(pa.float64()))
 
     return sums
 
@@ -190,7 +194,7 @@ def rank_sentences(units: DataFrame, keys: Sequence[str], text_col: str = "text"
     def blocks(sets: Column) -> Column:
         last = F.greatest(F.ceil(F.size(sets) / F.lit(block)).cast("int") - 1, F.lit(0))
         part = lambda i: F.slice(sets, i * block + 1, F.lit(block))
-        pair = lambda i, j: F.struct(i.alias("i"), part(i).alias("left"), part(j).alias("right"), (i == j).alias("same"))
+        pair = lambda i, j: F.struct(i.alias("i"), part(i).alias("left"), F.when(i != j, part(j)).alias("right"))
         grid = F.sequence(F.lit(0), last)
         pairs = F.flatten(F.transform(grid, lambda i: F.transform(grid, lambda j: pair(i, j))))
         return F.filter(pairs, lambda p: F.size(p["left"]) > 0)
@@ -199,7 +203,7 @@ def rank_sentences(units: DataFrame, keys: Sequence[str], text_col: str = "text"
     sets = F.transform(summary_sentences(F.col(text_col)), words)
     pairs = units.select(*keys, F.explode(let(sets, blocks)).alias("b"))
     partial = pairs.select(
-        *keys, F.col("b.i").alias("__i"), _overlap_sums(block)("b.left", "b.right", "b.same").alias("__p")
+        *keys, F.col("b.i").alias("__i"), _overlap_sums()("b.left", "b.right").alias("__p")
     )
     scored = partial.select(*keys, "__i", F.posexplode("__p").alias("__k", "__v")).groupBy(
         *keys, (F.col("__i") * block + F.col("__k")).alias("idx")
