@@ -508,3 +508,12 @@ def test_limited_pairs_are_the_best_of_all(spark):
     every = sr.similar_pairs(df, 0.5, pivots=3, block=200).orderBy(F.desc("similarity"), "id1", "id2").limit(40).collect()
     some = sr.similar_pairs(df, 0.5, 40, pivots=3, block=200)
     assert [(r.id1, r.id2) for r in some.collect()] == [(r.id1, r.id2) for r in every] and len(every) == 40
+
+
+def test_tfidf_scores_stay_in_their_row(spark):
+    made = rt.tfidf_scores(docs(spark, "One two three words. Three two more words! And three again here?", "", None, "no end"), ["doc_id"])
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    words = [["one", "two", "three", "words"], ["three", "two", "more", "words"], ["and", "three", "again", "here"]]
+    every = sum(words, [])
+    got = {(r.doc_id, r.idx): r.score for r in made.collect()}
+    assert got == pytest.approx({(0, i): sum(math.log(3 / every.count(w)) for w in ws) for i, ws in enumerate(words)})

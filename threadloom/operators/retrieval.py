@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -231,15 +233,26 @@ def position_scores(units: DataFrame, keys: Sequence[str], text_col: str = "text
 
 def tfidf_scores(units: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
     """Sum over a sentence's words of tf x ln(sentences / occurrences of the word in the text)."""
-    rows = _counted_sentences(units, keys, text_col)
-    words = rows.select(*keys, "idx", "__n", F.explode(tx.tokens(F.col("sentence"), r"\b\w{3,}\b")).alias("w"))
-    tf = words.groupBy(*keys, "idx", "w").agg(F.count("*").alias("tf"), F.first("__n").alias("n"))
-    # a plain aggregate joined back: a window over (text, word) would hold the same rows twice
-    occurrences = tf.groupBy(*keys, "w").agg(F.sum("tf").alias("df"))
-    scored = tf.join(occurrences, [*keys, "w"]).groupBy(*keys, "idx").agg(
-        F.sum(F.col("tf") * F.log(F.col("n") / F.col("df"))).alias("score")
-    )
-    return rows.drop("__n").join(scored, [*keys, "idx"], "left").fillna(0.0, ["score"])
+    # a text's words stay in its row, so nothing is shuffled
+    found = units.select(*keys, summary_sentences(F.col(text_col)).alias("__ss"))
+    words = F.transform("__ss", lambda s: tx.tokens(s, r"\b\w{3,}\b"))
+    scored = found.select(*keys, F.posexplode(F.arrays_zip(F.col("__ss").alias("sentence"), _rarity_sums()(words).alias("score"))).alias("idx", "s"))
+    return scored.select(*keys, "idx", "s.sentence", "s.score")
+
+
+def _rarity_sums():
+    """Sum over each sentence's words of ln(sentences / occurrences of the word in all sentences)."""
+
+    def one(sentences) -> list[float]:
+        occurrences = Counter(w for ws in sentences for w in ws)
+        weight = {w: math.log(len(sentences) / n) for w, n in occurrences.items()}
+        return [math.fsum(weight[w] for w in ws) for ws in sentences]
+
+    @F.arrow_udf("array<double>")
+    def sums(texts: pa.Array) -> pa.Array:
+        return pa.array([one(t.as_py() or []) for t in texts], pa.list_(pa.float64()))
+
+    return sums
 
 
 def pick_sentences(scored: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
