@@ -55,6 +55,31 @@ def test_fewer_blocks_for_fewer_results(spark, tmp_path):
     assert "postings" not in plan.split("ReadSchema")[1]
 
 
+def test_a_passage_is_one_row_until_its_block_is_built(spark, tmp_path):
+    docs = texts(spark, 100)
+    rows = ti.postings(docs)
+    # no word is a row of its own, so none is shuffled
+    assert rows.groupBy("doc_id", "passage_no").count().where("count > 1").isEmpty()
+    path = str(tmp_path / "index")
+    ti.write_index(rows, path, block_docs=16, buckets=8)
+    index = ti.TextIndex(spark, path, buckets=8).rows
+    assert index.groupBy("term", "block").count().where("count > 1").isEmpty()
+    words = rows.select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").count().collect()
+    held = index.select("term", F.explode("postings").alias("p")).groupBy("term").agg(F.sum("p.tf")).collect()
+    assert words and sorted(map(tuple, words)) == sorted(map(tuple, held))
+    assert index.where(F.col("greatest") != F.array_max("postings.impact")).isEmpty()
+
+
+def test_terms_of_a_few_queries_do_not_shuffle_the_index(spark, tmp_path):
+    path = str(tmp_path / "index")
+    ti.write_index(ti.postings(texts(spark, 100)), path, block_docs=16, buckets=8)
+    index = ti.TextIndex(spark, path, buckets=8)
+    asked = spark.createDataFrame([(1, "w3 w7")], "query_id int, query string")
+    found = index._scored(index._terms(asked), index.bounds(asked))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == plan.count("rightHint=(strategy=broadcast)")
+
+
 # ---------------------------------------------------------------- vectors
 def clustered(spark, n, d, seed=3):
     r = np.random.default_rng(seed)
