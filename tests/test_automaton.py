@@ -49,3 +49,15 @@ def test_phrases_of_nothing(spark):
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     phrases = automaton.phrases_within(none.select(F.lower("term").alias("term")), "term")
     assert phrases == [] and automaton.match_phrases(docs, none, phrases, "term", "doc_id", "text").collect() == []
+
+
+def test_only_positions_of_a_key_become_windows(spark):
+    from threadloom.functions import keybits
+
+    texts = [(1, "ab cd é😀x ab"), (2, "nothing"), (3, "a"), (4, None), (5, ""), (6, "éxab" * 3000)]
+    docs = spark.createDataFrame(texts, "doc_id long, low string")
+    keys = spark.createDataFrame([("ab",), ("é😀",), ("zz",), (None,)], "k string")
+    got = keybits.windows(docs, "doc_id", "low", keybits.of_keys(keys, "k", 2), 2, 5).collect()
+    want = [(i, p, t[p : p + 5]) for i, t in texts if t for p in range(len(t) - 1) if t[p : p + 2] in ("ab", "é😀", "zz")]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert keybits.windows(docs, "doc_id", "low", keybits.of_keys(keys.limit(0), "k", 2), 2, 5).isEmpty()

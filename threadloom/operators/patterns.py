@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from threadloom import lexicons as lx
+from threadloom.functions import keybits
 from threadloom.functions import spans as sp
 from threadloom.functions import ordered
 from threadloom.operators import automaton
@@ -98,10 +99,11 @@ def _match_inline(docs: DataFrame, terms: Column, id_col: str, text_col: str) ->
 def _match_by_keys(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Exact matching for a lexicon too large to inline.
 
-    Every text position is keyed by its next k characters (k = shortest phrase) and joined to
-    the phrases with the same first k characters; the window is then compared in full. Only
-    (id, position, window) is shuffled and skewed keys are split by adaptive execution; texts
-    are joined back for the hits alone.
+    A text position is keyed by its next k characters (k = shortest phrase) and joined to the phrases
+    with the same first k characters; the window is then compared in full. Only positions whose key
+    has its bit among those of the phrases become rows of (id, position, window), see
+    :mod:`threadloom.functions.keybits`; skewed keys are split by adaptive execution; texts are joined
+    back for the hits alone.
     """
     lexicon = lexicon.dropDuplicates(["module", "term"]).withColumn("__term", F.lower("term"))
     size = lexicon.agg(
@@ -112,33 +114,10 @@ def _match_by_keys(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: s
             {"start": F.lit(0), "end": F.lit(0)}
         )
     keyed = lexicon.withColumn("__key", F.substring("__term", 1, size["k"]))
-    low = F.lower(F.col(text_col))
-    # short overlapping blocks first: cutting a window out of a whole text costs its offset
-    width = 512
-    blocks = docs.where(F.length(text_col) >= size["k"]).select(
-        id_col,
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.length(text_col) - size["k"], F.lit(width)),
-                lambda o: F.struct(
-                    o.alias("at"), F.substring(low, o + 1, F.lit(width + size["m"])).alias("part")
-                ),
-            )
-        ).alias("b"),
-    )
-    within = F.least(F.length("b.part") - size["k"], F.lit(width - 1))
-    windows = blocks.select(
-        id_col,
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), within),
-                lambda i: F.struct(
-                    (F.col("b.at") + i).alias("start"),
-                    F.substring("b.part", i + 1, F.lit(size["m"])).alias("__win"),
-                )
-            )
-        ).alias("w"),
-    ).select(id_col, "w.start", "w.__win", F.substring("w.__win", 1, size["k"]).alias("__key"))
+    windows = keybits.windows(
+        docs.select(id_col, F.lower(text_col).alias("__low")), id_col, "__low",
+        keybits.of_keys(keyed, "__key", size["k"]), size["k"], size["m"],
+    ).select(id_col, "start", F.col("window").alias("__win"), F.substring("window", 1, size["k"]).alias("__key"))
     hits = (
         windows.join(broadcast_if_small(keyed), "__key")
         .where(F.startswith("__win", "__term"))
