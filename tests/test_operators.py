@@ -517,3 +517,22 @@ def test_tfidf_scores_stay_in_their_row(spark):
     every = sum(words, [])
     got = {(r.doc_id, r.idx): r.score for r in made.collect()}
     assert got == pytest.approx({(0, i): sum(math.log(3 / every.count(w)) for w in ws) for i, ws in enumerate(words)})
+
+
+def test_entity_shortcuts_change_no_match(spark):
+    from threadloom.functions import spans as sp
+    from threadloom.operators import text as tt
+
+    words = ["12/03/2024", "x1-2-99", "March 3, 2024", "may 5 1999", "at 10:30 pm", "$1,200.50 million", "300 EUR", "12.5%", "_7%", "a.b+c@d-e.org", "x@y", "@home.de",
+             "https://a.b/c?d", "Anna Maria Lang", "Anna", "Anna  Lang", "AnnaX Lang", "éAnna Lang", "\n", "dismay 3 1999", "a@b.co@c.de"]
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 6)))) for i in range(400)] + [(400, None), (401, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = tt.extract_entities(docs, resolve_overlaps=False).select("doc_id", "type", "text", "start")
+    want = None
+    for kind, pattern in tt.lx.ENTITY_PATTERNS:
+        found = docs.select("doc_id", F.lit(kind).alias("type"), F.explode(sp.regex_spans(F.col("text"), pattern)).alias("e")).select("doc_id", "type", "e.text", "e.start")
+        want = found if want is None else want.unionByName(found)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # a text without the sign that a pattern needs is not searched for it
+    assert set(tt._ENTITY_NEEDS) | set(tt._ENTITY_BEGINS) < set(range(len(tt.lx.ENTITY_PATTERNS)))
