@@ -536,3 +536,23 @@ def test_entity_shortcuts_change_no_match(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     # a text without the sign that a pattern needs is not searched for it
     assert set(tt._ENTITY_NEEDS) | set(tt._ENTITY_BEGINS) < set(range(len(tt.lx.ENTITY_PATTERNS)))
+
+
+def test_runs_of_word_characters_need_no_boundaries(spark):
+    from threadloom.functions import spans as sp
+
+    assert sp.ascii_boundaries(r"\b\w{2,}\b") == r"\w{2,}" and sp.ascii_boundaries(r"\b[a-z]+\b") != "[a-z]+"
+    text = "a bc é1x_ 22-3 xé don't  \nzz"
+    rows = spark.createDataFrame([(text,)], "text string")
+    for pattern in (r"\b\w+\b", r"\b\w{2,}\b", r"\b\w{3,}\b"):
+        got = rows.select(sp.find_all(F.col("text"), pattern)).first()[0]
+        assert got == re.findall(pattern, text, flags=re.ASCII)
+
+
+def test_corpus_frequencies_do_not_build_passages_twice(spark):
+    from threadloom.operators import retrieval as rt
+
+    docs = spark.createDataFrame([(1, "first words of a passage here\n\nsecond words of the same"), (2, None)], "doc_id long, text string")
+    scored = rt.bm25_passages(docs, "second passage", df="corpus")
+    assert "regexp_extract_all" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.passage_no for r in scored.where("score > 0").collect()) == [0, 1]

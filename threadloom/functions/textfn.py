@@ -21,8 +21,8 @@ def tokens(text: Column, pattern: str) -> Column:
 
 def search_terms(text: Column) -> Column:
     """Words of two or more characters without the retrieval stop words."""
-    stop = string_array(lx.RETRIEVAL_STOP_WORDS)
-    return F.filter(tokens(text, r"\b\w{2,}\b"), lambda t: ~F.array_contains(stop, t))
+    # a list of literals is looked up in a hash set, an array element by element
+    return F.filter(tokens(text, r"\b\w{2,}\b"), lambda t: ~t.isin(lx.RETRIEVAL_STOP_WORDS))
 
 
 def count_in(words: Column, vocabulary: Sequence[str]) -> Column:

@@ -58,13 +58,14 @@ def bm25_passages(
 
     ``df='fixed'`` assumes a term occurs in a tenth of a document's passages and scores within
     the document. ``df='corpus'`` counts real document frequencies in one aggregation whose
-    single row is joined back.
+    single row is joined back; passages are checkpointed for it, not built twice.
     """
     terms = query_terms(query)
     rows = passage_terms(docs, passages(F.col(text_col)) if spans is None else spans, id_col)
     tf = {i: _term_count(term) for i, term in enumerate(terms)}
     rows = rows.withColumns({f"__tf{i}": c for i, c in tf.items()})
     if df == "corpus":
+        rows = cut_lineage(rows.select(id_col, "passage_no", "text", "start", "dl", *[f"__tf{i}" for i in tf]))
         stats = rows.agg(
             F.count("*").alias("__n"), F.avg("dl").alias("__avg"),
             *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in tf],
