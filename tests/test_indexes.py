@@ -168,3 +168,22 @@ def test_many_queries_match_as_the_sql_function_does(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
     plan = entry.queries()["sql_match_embeddings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_slice_of_queries_is_compared_piece_by_piece(spark, tmp_path, monkeypatch):
+    from threadloom.operators import vector_index as vi
+
+    rows, table, _ = clustered(spark, 400, 8)
+    path = str(tmp_path / "vectors")
+    vi.write_index(table, path, cells=4, part=100, sample=300)
+    asked = [(i, v) for i, v, _ in rows if i % 20 == 0]
+    queries = spark.createDataFrame(asked, "query_id long, query array<double>")
+    monkeypatch.setattr(vi, "_TOGETHER", 3)
+    found = vi.VectorIndex(spark, path).search(queries, 4, exact=True, exclude_self=True).orderBy("query_id", "rank").collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(ids) for q, ids in got.items()} == {q: 4 for q, _ in asked}
+    want = plain_search(rows, asked, 4)
+    # two more rows repeat the first vector, so what is near it may come before the fourth
+    assert all(set(ids) <= set(want[q]) | {403, 404} for q, ids in got.items())

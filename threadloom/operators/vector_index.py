@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from threadloom.session import cut_lineage
 
+#: Queries that are compared with a part of a cell at a time.
+_TOGETHER = 128
+
 
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
@@ -93,8 +96,9 @@ class VectorIndex:
         def probe(frames):
             for f in frames:
                 f = f[f["query"].map(lambda v: v is not None and len(v) == centres.shape[1])]
-                for s in range(0, len(f), 256):
-                    g = f.iloc[s : s + 256]
+                # few queries at a time and few rows out: each can come out once per part of every cell
+                for s in range(0, len(f), 64):
+                    g = f.iloc[s : s + 64]
                     cos = _stack(g["query"]) @ centres.T
                     near = np.zeros(cos.shape, bool)
                     np.put_along_axis(near, np.argsort(-cos, axis=1, kind="stable")[:, :cells], True, axis=1)
@@ -104,7 +108,10 @@ class VectorIndex:
                     i, j = np.repeat(i, parts[j]), np.repeat(j, parts[j])
                     first = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1]))) if len(i) else np.zeros(0, int)
                     part = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-                    yield pd.DataFrame({"query_id": g["query_id"].to_numpy()[i], "query": g["query"].to_numpy()[i], "cell": names[j], "part": part.astype(np.int32)})
+                    ids, asked = g["query_id"].to_numpy(), g["query"].to_numpy()
+                    for r in range(0, len(i), 2_048):
+                        o = slice(r, r + 2_048)
+                        yield pd.DataFrame({"query_id": ids[i[o]], "query": asked[i[o]], "cell": names[j[o]], "part": part[o].astype(np.int32)})
 
         kind = dict(queries.dtypes)["query_id"]
         return queries.mapInPandas(probe, f"query_id {kind}, query array<double>, cell int, part int")
@@ -123,16 +130,19 @@ class VectorIndex:
             if not len(q) or not len(v):
                 return pd.DataFrame({"query_id": [], id_col: [], "similarity": []})
             v = v.sort_values(id_col)
-            own, asked = v[id_col].to_numpy(), q["query_id"].to_numpy()
-            sims = _stack(q["query"]) @ _stack(v[vec_col]).T
-            fits = np.ones(sims.shape, bool) if not exclude_self else asked[:, None] != own[None, :]
-            if least is not None:
-                fits &= sims > least if strict else sims >= least
-            masked = np.where(fits, sims, -np.inf)
-            best = np.argsort(-masked, axis=1, kind="stable")[:, :k]
-            found = np.take_along_axis(fits, best, axis=1)
-            i = np.nonzero(found)[0]
-            return pd.DataFrame({"query_id": asked[i], id_col: own[best[found]], "similarity": np.take_along_axis(sims, best, axis=1)[found]})
+            own, against, out = v[id_col].to_numpy(), _stack(v[vec_col]).T, []
+            for r in range(0, len(q), _TOGETHER):  # the products of a part with a whole slice would be the most that a task holds
+                some = q.iloc[r : r + _TOGETHER]
+                asked = some["query_id"].to_numpy()
+                sims = _stack(some["query"]) @ against
+                fits = np.ones(sims.shape, bool) if not exclude_self else asked[:, None] != own[None, :]
+                if least is not None:
+                    fits &= sims > least if strict else sims >= least
+                best = np.argsort(np.where(fits, -sims, np.inf), axis=1, kind="stable")[:, :k]
+                found = np.take_along_axis(fits, best, axis=1)
+                i = np.nonzero(found)[0]
+                out.append(pd.DataFrame({"query_id": asked[i], id_col: own[best[found]], "similarity": np.take_along_axis(sims, best, axis=1)[found]}))
+            return pd.concat(out)
 
         return probes.groupBy("cell", "part", "slice").cogroup(met.groupBy("cell", "part", "met")).applyInPandas(score, f"query_id {kinds[1]}, {id_col} {kinds[0]}, similarity double")
 
