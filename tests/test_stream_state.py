@@ -76,6 +76,34 @@ def test_quiet_keys_are_forgotten(spark, tmp_path):
     assert {i: (g[1], g[3]) for i, g in got.items()} == {1: (1, "first_message"), 2: (2, "time_gap"), 3: (1, "first_message"), 4: (1, None)}
 
 
+def test_messages_of_many_keys_wait_in_few_pieces(spark, tmp_path):
+    rows = [(i, f"k{i * 7919 % 3_000}", T0 + dt.timedelta(seconds=i * 5), "ab"[i % 5 == 0], [1.0, float(i % 3), 0.5]) for i in range(24_000)]
+    random.Random(4).shuffle(rows)
+    feed(spark, str(tmp_path / "src"), rows)
+    assert not run(spark, tmp_path, least_similarity=0.7).collect()
+    pieces = spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "cp")).count()
+    assert 0 < pieces < len(rows) / 10
+    feed(spark, str(tmp_path / "src"), [(-1, "tick", T0 + dt.timedelta(days=20), None, None)])
+    got = run(spark, tmp_path, least_similarity=0.7).collect()
+    want = cv.segment_messages(spark.createDataFrame(rows, SCHEMA), ["platform"], embedding="embedding", min_similarity=0.7).collect()
+    assert len(got) == len(want) and shown(got) == shown(want)
+
+
+def test_odd_messages_of_a_long_key(spark, tmp_path):
+    """Ids beside a null one and past 2^53, null topics, vectors of other lengths, more messages than a piece takes, quiet times."""
+    r = random.Random(5)
+    vectors = [[1.0, 0.2], [0.1, 1.0], [1.0, 0.2, 0.3], [], [0.0, 0.0], None]
+    rows = [(2**60 + 2 * i + 1, r.choice(["p"] * 12 + ["q", None]), T0 + dt.timedelta(seconds=i * 60 + r.randint(0, 30)), r.choice(["a", "a", "b", None]), r.choice(vectors)) for i in range(15_000)]
+    rows.append((None, "p", rows[7_000][2], "a", [1.0, 0.2]))
+    third = len(rows) // 3
+    for part in (rows[:third], rows[third : 2 * third], rows[2 * third :]):
+        feed(spark, str(tmp_path / "src"), r.sample(part, len(part)))
+    feed(spark, str(tmp_path / "src"), [(-1, "tick", T0 + dt.timedelta(days=40), None, None)])
+    got = run(spark, tmp_path, least_similarity=0.7, delay="144 hours").collect()
+    want = cv.segment_messages(spark.createDataFrame(rows, SCHEMA), ["platform"], embedding="embedding", min_similarity=0.7).collect()
+    assert len(got) == len(want) == len(rows) and shown(got) == shown(want)
+
+
 def test_repeated_content_expires(spark, tmp_path):
     schema = "doc_id long, text string, ts timestamp_ntz"
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
